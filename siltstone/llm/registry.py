@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, near_dedup, packing, url_filters
+from . import embedding_dedup, exact_dedup, language_id, near_dedup, packing, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op5_language_id": language_id.op5_language_id,
         "op7_url_filters": url_filters.op7_url_filters,
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_packing": packing.op9_packing,
