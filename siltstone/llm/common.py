@@ -97,25 +97,103 @@ def _upto(base: int, size: int) -> np.ndarray:
     return _powers(base, 1 << max(16, (size - 1).bit_length()))[:size]
 
 
+class Spans:
+    """The words of a list of texts, A-Z lower-cased, and 64-bit hashes of any spans of them.
+
+    A word is a maximal run of bytes that `border` (a table of 256 booleans) doesn't name. One pass over the bytes in
+    numpy: a prefix sum of byte * radix^position gives every span's polynomial, moved to position 0 and mixed."""
+
+    def __init__(self, texts: list[bytes | None], border: np.ndarray):
+        joined = b"\n".join([t or b"" for t in texts]) + b"\n"
+        self.raw = np.frombuffer(joined, np.uint8)
+        self.data = np.frombuffer(joined.lower(), np.uint8)
+        lengths = np.fromiter((len(t) + 1 if t else 1 for t in texts), np.int64, len(texts))
+        edge = border[self.data]
+        before = np.empty_like(edge)
+        before[0], before[1:] = True, edge[:-1]
+        self.starts, self.ends = np.flatnonzero(~edge & before), np.flatnonzero(edge & ~before)
+        self.text_at = np.concatenate(([0], np.cumsum(lengths)))  # of bytes
+        self.at = np.searchsorted(self.starts, self.text_at)  # of words
+        with np.errstate(over="ignore"):
+            self._sums = np.zeros(len(self.data) + 1, _U)
+            np.cumsum((self.data.astype(_U) + _U(1)) * _upto(_RADIX, len(self.data)), out=self._sums[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self._sums[ends] - self._sums[starts]) * _upto(_UNRADIX, len(self.data))[starts] + (ends - starts).astype(_U))
+
+
 def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word of all texts in order, start of each text's words; one more start at the end).
-
-    Words are maximal runs without the six ASCII space characters, with A-Z lower-cased. One pass over bytes in
-    numpy: a prefix sum of byte * radix^position gives every word's polynomial, moved to position 0 and mixed."""
-    joined = b"\n".join([t or b"" for t in texts]).lower() + b"\n"
-    data = np.frombuffer(joined, np.uint8)
-    lengths = np.fromiter((len(t) + 1 if t else 1 for t in texts), np.int64, len(texts))
-    space = _IS_SPACE[data]
-    before = np.empty_like(space)
-    before[0], before[1:] = True, space[:-1]
-    starts = np.flatnonzero(~space & before)
-    ends = np.flatnonzero(space & ~before)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, _U)
-        np.cumsum((data.astype(_U) + _U(1)) * _upto(_RADIX, len(data)), out=sums[1:])
-        words = mix((sums[ends] - sums[starts]) * _upto(_UNRADIX, len(data))[starts] + (ends - starts).astype(_U))
-    text_at = np.concatenate(([0], np.cumsum(lengths)))
-    return words, np.searchsorted(starts, text_at)
+    """(hash of every word of all texts in order, start of each text's words; one more start at the end). Words are maximal runs without the six ASCII space characters."""
+    spans = Spans(texts, _IS_SPACE)
+    return spans.hashes(spans.starts, spans.ends), spans.at
+
+
+class Lookup:
+    """Positions of known 64-bit hashes: a table by leading bits, then the hash itself."""
+
+    def __init__(self, known: np.ndarray):
+        self.order = np.argsort(known, kind="stable")
+        self.sorted = known[self.order]
+        self.shift = _U(64 - max(16, (8 * max(1, len(known)) - 1).bit_length()))
+        self.maybe = np.zeros(1 << (64 - int(self.shift)), np.bool_)
+        self.maybe[(known >> self.shift).astype(np.int64)] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of `hashes` that are known, their positions)"""
+        rows = np.flatnonzero(self.maybe[(hashes >> self.shift).astype(np.int64)])
+        if not len(self.sorted):
+            return rows[:0], rows[:0]
+        at = np.minimum(np.searchsorted(self.sorted, hashes[rows]), len(self.sorted) - 1)
+        right = self.sorted[at] == hashes[rows]
+        return rows[right], self.order[at[right]]
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label_column: str, most: int, short: int, id_column: str = "doc_id", text_column: str = "text", parts: int = 4, held_out: int = 2
+) -> tuple[list[tuple[int, bytes, int]], dict[int, int]]:
+    """([(id, whole text, label)], rows of each label): at most `most` training rows of each label 0 and 1, by smallest hash, texts of up to `short` bytes before longer ones. Rows of the held-out fold are never read."""
+    known = labels.select(F.col(id_column), F.col(label_column).cast("int").alias("label")).filter(F.col("label").isin(0, 1)).distinct()
+    train = docs.filter(F.col(text_column).isNotNull() & (fold(id_column, parts) != held_out)).select(id_column, F.col(text_column).cast("string").alias("text"))
+    joined = train.join(known, id_column).select(F.col(id_column).cast("long").alias("id"), "label", "text", (F.octet_length("text") > short).alias("long"), F.xxhash64(id_column).alias("h"))
+    totals = {r["label"]: r["n"] for r in joined.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    rows = []
+    for label in sorted(totals):
+        part = joined.filter(F.col("label") == label).orderBy("long", "h", "id").limit(most)
+        rows += [(r["id"], r["text"].encode(), label) for r in part.select("id", "text").collect()]
+    return rows, totals
+
+
+def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The non-decreasing step function nearest to y in weighted squares (pool adjacent violators): (left ends, values)."""
+    order = np.argsort(x, kind="stable")
+    pools: list[list[float]] = []
+    for a, b, w in zip(x[order].tolist(), y[order].tolist(), weight[order].tolist(), strict=True):
+        if pools and pools[-1][3] == a:
+            pools[-1][0] += b * w
+            pools[-1][1] += w
+        else:
+            pools.append([b * w, w, a, a])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+            s, w_, _, last = pools.pop()
+            pools[-1][0] += s
+            pools[-1][1] += w_
+            pools[-1][3] = last
+    return np.array([p[2] for p in pools]), np.array([p[0] / p[1] for p in pools])
+
+
+def without_copies(texts: list[bytes]) -> list[int]:
+    """Positions of texts of which none is a near copy of an earlier one: those that share the least of their three-word windows under one of four orders count as copies. For samples of bounded size."""
+    seen: set[tuple[int, int]] = set()
+    kept = []
+    for i, text in enumerate(texts):
+        words, at = hashed_words([text])
+        found, _ = windows(words, at, 3)
+        least = [(k, int(mix(found ^ _U(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).min())) for k in range(1, 5)] if len(found) else [(0, 0)]
+        if not seen.intersection(least):
+            kept.append(i)
+        seen.update(least)
+    return kept
 
 
 _STEPS = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
