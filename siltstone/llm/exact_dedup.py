@@ -209,11 +209,12 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """One row per input row: id_column, keep_id, group_size, kept, text_sha256. The owner has the most code points, then the smallest id."""
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     keys = texts.mapInArrow(_keys, _KEYED)
-    owned = owners(docs, id_column, text_column).select("size", "digest", "row", "rows")
-    joined = keys.join(owned.hint("merge"), ["size", "digest"], "inner")
-    return joined.select(
-        F.col("id").alias(id_column), F.col("row").alias("keep_id"), F.col("rows").alias("group_size"), (F.col("id") == F.col("row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    # joined by the hex digest, not by the aggregation's own keys: so the join has exchanges of its own, of which the
+    # optimizer can split the one that a large group of copies makes uneven
+    sha = F.lower(F.hex("digest")).alias("text_sha256")
+    owned = owners(docs, id_column, text_column).select(sha, "row", "rows")
+    joined = keys.select("id", sha).join(owned.hint("merge"), "text_sha256")
+    return joined.select(F.col("id").alias(id_column), F.col("row").alias("keep_id"), F.col("rows").alias("group_size"), (F.col("id") == F.col("row")).alias("kept"), "text_sha256")
 
 
 def kept_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
