@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the characters that separate words.
 SPACES = b"\x09\x0a\x0b\x0c\x0d\x20"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+_SEGMENT = 1 << 20
 
 _U = np.uint64
 
@@ -94,7 +95,7 @@ def _powers(base: int, size: int) -> np.ndarray:
 
 
 def _upto(base: int, size: int) -> np.ndarray:
-    return _powers(base, 1 << max(16, (size - 1).bit_length()))[:size]
+    return _powers(base, 1 << max(16, (int(size) - 1).bit_length()))[:size]
 
 
 class Spans:
@@ -114,19 +115,52 @@ class Spans:
         self.starts, self.ends = np.flatnonzero(~edge & before), np.flatnonzero(edge & ~before)
         self.text_at = np.concatenate(([0], np.cumsum(lengths)))  # of bytes
         self.at = np.searchsorted(self.starts, self.text_at)  # of words
+        # exponents restart at a border after each segment, so that the tables of powers stay small for texts of any length
+        cuts = np.flatnonzero(edge)
+        cuts = cuts[np.searchsorted(cuts, np.arange(_SEGMENT, len(self.data), _SEGMENT))] if len(self.data) > _SEGMENT else cuts[:0]
+        self._from = np.unique(np.concatenate(([0], cuts)))
+        self._sums = np.zeros(len(self.data) + 1, _U)
         with np.errstate(over="ignore"):
-            self._sums = np.zeros(len(self.data) + 1, _U)
-            np.cumsum((self.data.astype(_U) + _U(1)) * _upto(_RADIX, len(self.data)), out=self._sums[1:])
+            for lo, hi in zip(self._from, [*self._from[1:], len(self.data)], strict=True):
+                # a segment starts at a border, where no word does: its place keeps the sum of the segment before
+                np.cumsum((self.data[lo:hi].astype(_U) + _U(1)) * _upto(_RADIX, hi - lo), out=self._sums[lo + 1 : hi + 1])
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        offset = starts - self._from[np.searchsorted(self._from, starts, side="right") - 1]
         with np.errstate(over="ignore"):
-            return mix((self._sums[ends] - self._sums[starts]) * _upto(_UNRADIX, len(self.data))[starts] + (ends - starts).astype(_U))
+            return mix((self._sums[ends] - self._sums[starts]) * _upto(_UNRADIX, int(offset.max(initial=0)) + 1)[offset] + (ends - starts).astype(_U))
 
 
 def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word of all texts in order, start of each text's words; one more start at the end). Words are maximal runs without the six ASCII space characters."""
-    spans = Spans(texts, _IS_SPACE)
-    return spans.hashes(spans.starts, spans.ends), spans.at
+    words, counts, group, held = [], [], [], 0
+    for i, text in enumerate(texts):
+        group.append(text)
+        held += len(text or b"")
+        if held >= SLICE_BYTES or i + 1 == len(texts):
+            spans = Spans(group, _IS_SPACE)
+            words.append(spans.hashes(spans.starts, spans.ends))
+            counts.append(np.diff(spans.at))
+            group, held = [], 0
+    if not words:
+        return np.empty(0, _U), np.zeros(1, np.int64)
+    return np.concatenate(words), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+
+
+def in_pieces(texts: list[bytes], limit: int = SLICE_BYTES) -> tuple[list[bytes], np.ndarray]:
+    """(the texts, those beyond `limit` cut at spaces, which are left out; the text that each piece is of)"""
+    out, owner = [], []
+    for i, text in enumerate(texts):
+        while len(text) > limit:
+            at = text.find(b" ", limit)
+            if at < 0:
+                break
+            out.append(text[:at])
+            owner.append(i)
+            text = text[at + 1 :]
+        out.append(text)
+        owner.append(i)
+    return out, np.array(owner, np.int64)
 
 
 class Lookup:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fold, mix, slices, table
+from .common import as_bytes, fold, in_pieces, mix, slices, table
 
 LENGTHS = (3, 4, 5)
 #: Training texts of a language, and the length beyond which a text is taken only if there are too few others.
@@ -33,6 +33,7 @@ MORE, LEAST_TEXTS = 4.0, 3
 CELLS, PROBES = 1 << 19, 2
 PARTS, HELD_OUT = 4, 2
 UNKNOWN = "und"
+_TOGETHER = 1 << 18
 _LETTER = re.compile(r"[^\W\d_]")
 _U = np.uint64
 
@@ -100,14 +101,20 @@ class LanguageFilters:
 
     def votes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(corrected votes[text, language], n-grams of each text)"""
-        grams, at = ngrams(texts)
-        found = self.containing(grams)
-        total = np.diff(at)
-        out = np.zeros((len(texts), len(self.languages)))
-        for k in range(len(self.languages)):
-            hits = np.concatenate(([0], np.cumsum((found >> found.dtype.type(k)) & found.dtype.type(1), dtype=np.int64)))
-            out[:, k] = np.maximum(0.0, (np.diff(hits[at]) - self.rates[k] * total) / (1 - self.rates[k]))
-        return out, total
+        pieces, owner = in_pieces(texts, _TOGETHER)
+        total = np.zeros(len(texts), np.int64)
+        hits = np.zeros((len(texts), len(self.languages)))
+        sizes, at = np.cumsum([len(p) for p in pieces]), 0
+        while at < len(pieces):  # n-grams take many times their text's memory
+            past = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _TOGETHER)))
+            grams, ends = ngrams(pieces[at:past])
+            found = self.containing(grams)
+            np.add.at(total, owner[at:past], np.diff(ends))
+            for k in range(len(self.languages)):
+                counts = np.concatenate(([0], np.cumsum((found >> found.dtype.type(k)) & found.dtype.type(1), dtype=np.int64)))
+                np.add.at(hits[:, k], owner[at:past], np.diff(counts[ends]))
+            at = past
+        return np.maximum(0.0, (hits - self.rates * total[:, None]) / (1 - self.rates)), total
 
     def decide(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(index of the language, score)"""

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, hashed_words, mix, parallelism, table
 
 ORDER, CUTOFF, ALPHA = 2, 2, 0.4
-CHUNK_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
+CHUNK_BYTES, RANGE_BYTES = 4 << 20, 8 << 20
 _U = np.uint64
 _EMPTY = _U(0x5851F42D4C957F2D)
 _STEP = _U(0x9E3779B97F4A7C15)

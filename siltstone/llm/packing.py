@@ -110,7 +110,7 @@ def _cut(path: str, window: int, end_id: int):
         tokenizer, part = _tokenizer(path), TaskContext.get().partitionId()
         seen = np.zeros(window + 1, np.int64)
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, limit=4 << 20):
                 out: list[tuple] = []
                 encoded = tokenizer.batch([t or "" for t in rows.column("text").to_pylist()])
                 for doc, mark, ids in zip(rows.column("doc_id").to_pylist(), rows.column("mark").to_pylist(), encoded, strict=True):
@@ -234,7 +234,7 @@ def _recut(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, limit=4 << 20):
                 out = []
                 for r, ids in zip(rows.drop_columns(["text"]).to_pylist(), tokenizer.batch([t or "" for t in rows.column("text").to_pylist()]), strict=True):
                     ids += end

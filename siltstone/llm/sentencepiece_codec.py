@@ -221,7 +221,7 @@ def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=8 << 20):
                 yield pa.RecordBatch.from_arrays([part.column("id"), _ids_array(codec.encode(part.column("text").to_pylist()))], names=["id", "ids"])
 
     return run
@@ -249,7 +249,7 @@ def _both(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=8 << 20):
                 texts = part.column("text").to_pylist()
                 encoded = codec.encode(texts)
                 same = [None if t is None else codec.decode(e) == t.replace(MARK, " ") for t, e in zip(texts, encoded, strict=True)]
