@@ -1,16 +1,18 @@
 """Near-dedup of texts by SetSketch registers.
 
 A text's set is its distinct five-word shingles (A-Z lower-cased, words between ASCII spaces; a shorter text is one
-shingle). Each of 80 registers holds floor(1 - log_b(least exponential draw of its shingles)), truncated to 0..q+1: the
+shingle). Each of 192 registers holds floor(1 - log_b(least exponential draw of its shingles)), truncated to 0..q+1: the
 registers of a union are the maxima, so sketches merge, and two sets agree in a register with a chance that grows with
-their Jaccard similarity. Four registers make a band; texts with an equal band meet in a bucket. A pair is dropped
-without its texts only where the joint likelihood of (greater, smaller, equal) registers at the threshold is e^-18 of
-its maximum or less, or where set sizes alone forbid it; all others are confirmed on the full sets of words.
+their Jaccard similarity. Six registers make a band; texts with an equal band meet in a bucket. A pair is dropped
+without its texts only where the joint likelihood of (greater, smaller, equal) registers at the threshold is e^-12.5
+of its maximum or less, or where set sizes alone forbid it; all others are confirmed on the full sets of words.
 
 Texts of one set (copies) collapse to their smallest identifier first. A bucket's members are compared with the
-bucket's smallest member. Members of different components that share a bucket after that are compared with each other:
-those outside the bucket's largest component with all the rest. So no pair that shares a band is left out unless it is in
-one component already. At similarity 0.85 a pair shares none of 20 bands of 4 with a chance of 4e-7.
+bucket's smallest member. Where a bucket then still holds members of different components, those are compared with each
+other by their registers: in blocks of 256, each pair of blocks a task's own group, so that neither is a bucket held
+whole nor are its pairs made; only pairs that may link leave a block, once, from the first band they share. So no pair
+that shares a band is left out unless it is in one component already. At similarity 0.85 a pair shares none of 32 bands of 6 with a
+chance of 3e-7.
 
 Nulls and texts without words have an empty set and link with nothing. Repeated identifiers count as copies of each other
 only if their sets are equal. Extra columns are ignored. An empty table gives an empty result.
@@ -22,18 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, hashed_words, mix, parallelism, slices, staged, table, windows
 from .components import components
 
 SHINGLE = 5
-BANDS, ROWS = 20, 4
+BANDS, ROWS = 32, 6
 BASE, RATE, MOST = 1.001, 20.0, (1 << 16) - 2
-#: Natural logarithm of the likelihood ratio beyond which an estimate rules a pair out: about six standard deviations.
-RULED_OUT = 18.0
+#: Natural logarithm of the likelihood ratio beyond which an estimate rules a pair out: five standard deviations.
+RULED_OUT = 12.5
 MEMBERS = 64
+BLOCK = 256
 _U = np.uint64
 
 
@@ -160,6 +163,70 @@ def _may_link(threshold: float):
     return run
 
 
+_CROSS = "key long, first int, second int, own int, id long, leader long, component long, n_shingles long, registers binary"
+
+
+def _across(threshold: float):
+    """Rows sorted by (key, first, second): pairs of one group that are in different components and may link."""
+
+    def compared(rows: pa.Table) -> pa.RecordBatch | None:
+        ids, leaders, components_, own, sizes = (rows.column(c).to_numpy() for c in ("id", "leader", "component", "own", "n_shingles"))
+        if len(ids) < 2 or (components_ == components_[0]).all():
+            return None
+        order = np.argsort(ids, kind="stable")
+        ids, leaders, components_, own, sizes = ids[order], leaders[order], components_[order], own[order], sizes[order].astype(np.float64)
+        values = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint16).reshape(len(ids), -1)[order]
+        one_block = rows.column("first")[0].as_py() == rows.column("second")[0].as_py()
+        a_all, b_all = [], []
+        for i in range(len(ids) - 1):
+            j = np.arange(i + 1, len(ids))
+            ok = (components_[j] != components_[i]) & (np.minimum(sizes[j], sizes[i]) >= (threshold - 1e-12) * np.maximum(sizes[j], sizes[i])) & (ids[i] != leaders[i])
+            if not one_block:
+                ok &= own[j] != own[i]
+            j = j[ok]
+            if len(j):
+                same = (values[j] == values[i]).mean(1) > threshold - 0.35  # far below what the likelihood would rule out
+                j = j[same]
+            if len(j):
+                _, may = estimated(np.repeat(values[i : i + 1], len(j), 0), values[j], np.full(len(j), sizes[i]), sizes[j], threshold)
+                j = j[may]
+            if len(j):
+                # from the first shared band only; a band is ROWS neighbouring registers
+                shared = (values[j] == values[i]).reshape(len(j), BANDS, ROWS).all(2)
+                first = band_keys(values[i : i + 1])[0][shared.argmax(1)]
+                j = j[first == rows.column("key")[0].as_py()]
+                a_all.append(np.full(len(j), ids[i]))
+                b_all.append(ids[j])
+        if not a_all:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_all), pa.int64()), pa.array(np.concatenate(b_all), pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = [batch.column(c).to_numpy() for c in ("key", "first", "second")]
+            new = np.ones(batch.num_rows, np.bool_)
+            new[1:] = np.any([v[1:] != v[:-1] for v in values], axis=0)
+            starts = np.flatnonzero(new)
+            for lo, hi in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                key = tuple(v[lo] for v in values)
+                if key != last and held:
+                    found = compared(pa.Table.from_batches(held).combine_chunks())
+                    if found is not None:
+                        yield found
+                    held = []
+                last = key
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            found = compared(pa.Table.from_batches(held).combine_chunks())
+            if found is not None:
+                yield found
+
+    return run
+
+
 def _word_set(text: bytes, shingle: int) -> set:
     words = text.lower().split()
     if len(words) < shingle:
@@ -207,9 +274,9 @@ class _Linker:
 
     def links(self, pairs: DataFrame, tag: str) -> DataFrame:
         """a: leader, b: member. A leader of many is dealt to several tasks, each with its text."""
-        pairs = staged(self.plausible(pairs).withColumn("salt", F.lit(0)), f"{tag}-pairs")
+        pairs = staged(pairs, f"{tag}-pairs")
         many = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("parts")).select("a", "parts")
-        salted = pairs.drop("salt").join(many, "a").select(F.col("a").alias("leader"), F.col("b").alias("id"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("salt"))
+        salted = pairs.join(many, "a").select(F.col("a").alias("leader"), F.col("b").alias("id"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("salt"))
         leads = salted.select("leader", F.col("leader").alias("id"), "salt").distinct()
         wanted = salted.unionByName(leads)
         rows = wanted.join(self.texts, "id").select("leader", "salt", "id", "text")
@@ -232,19 +299,19 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     near = members.select("id").distinct()
     held = staged(texts.join(near, "id", "left_semi").dropDuplicates(["id"]), "texts")
     linker = _Linker(held, first.join(near, "id", "left_semi"), shingle, percent)
-    direct = linker.links(members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "direct")
+    direct = linker.links(linker.plausible(members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()), "direct")
     named = components(direct)
 
     # buckets that still hold several components
-    placed = members.select("key", "id").join(named, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
-    still = placed.join(mixed.select("key", F.col("most.component").alias("largest")), "key")
-    minor = still.filter("component <> largest").select("key", F.col("id").alias("x"), F.col("component").alias("of_x"))
-    every = still.select("key", F.col("id").alias("y"), F.col("component").alias("of_y"))
-    across = minor.join(every, "key").filter("of_x <> of_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    done = members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    crossing = linker.links(across.join(done, ["a", "b"], "left_anti"), "crossing")
+    placed = members.join(named, "id", "left").select("key", "leader", "id", F.coalesce("component", "id").alias("component"))
+    mixed = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    still = placed.join(mixed.join(several, "key"), "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    paired = still.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = paired.select("key", F.least("own", "with").alias("first"), F.greatest("own", "with").alias("second"), "own", "id", "leader", "component")
+    full = paired.join(linker.sides, "id").select(*[c.split()[0] for c in _CROSS.split(", ")])
+    dealt = full.repartition(linker.partitions, "key", "first", "second").sortWithinPartitions("key", "first", "second")
+    crossing = linker.links(dealt.mapInArrow(_across(percent / 100), "a long, b long"), "crossing")
     found = components(named.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(crossing))
 
     classes = sketches.select("id", "n_shingles", "set_a", "set_b").join(sets, ["set_a", "set_b", "n_shingles"], "left")
