@@ -7,8 +7,8 @@ their Jaccard similarity. Six registers make a band; texts with an equal band me
 without its texts only where the joint likelihood of (greater, smaller, equal) registers at the threshold is e^-12.5
 of its maximum or less, or where set sizes alone forbid it; all others are confirmed on the full sets of words.
 
-Texts of one set (copies) collapse to their smallest identifier first. A bucket's members are compared with the
-bucket's smallest member. Where a bucket then still holds members of different components, those are compared with each
+Texts of one set (copies) collapse to their smallest identifier first. A text is compared with the
+smallest members of its buckets, the four that it shares most bands with. Where a bucket then still holds members of different components, those are compared with each
 other by their registers: in blocks of 256, each pair of blocks a task's own group, so that neither is a bucket held
 whole nor are its pairs made; only pairs that may link leave a block, once, from the first band they share. So no pair
 that shares a band is left out unless it is in one component already. At similarity 0.85 a pair shares none of 32 bands of 6 with a
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, hashed_words, mix, parallelism, slices, staged, table, windows
@@ -37,6 +37,8 @@ BASE, RATE, MOST = 1.001, 20.0, (1 << 16) - 2
 RULED_OUT = 12.5
 MEMBERS = 64
 BLOCK = 256
+#: Smallest members of its buckets that a text is compared with at first; what that leaves apart is compared in blocks.
+LEADERS = 4
 _U = np.uint64
 
 
@@ -163,24 +165,24 @@ def _may_link(threshold: float):
     return run
 
 
-_CROSS = "key long, first int, second int, own int, id long, leader long, component long, n_shingles long, registers binary"
+_CROSS = "key long, first int, second int, own int, id long, component long, n_shingles long, registers binary"
 
 
 def _across(threshold: float):
     """Rows sorted by (key, first, second): pairs of one group that are in different components and may link."""
 
     def compared(rows: pa.Table) -> pa.RecordBatch | None:
-        ids, leaders, components_, own, sizes = (rows.column(c).to_numpy() for c in ("id", "leader", "component", "own", "n_shingles"))
+        ids, components_, own, sizes = (rows.column(c).to_numpy() for c in ("id", "component", "own", "n_shingles"))
         if len(ids) < 2 or (components_ == components_[0]).all():
             return None
         order = np.argsort(ids, kind="stable")
-        ids, leaders, components_, own, sizes = ids[order], leaders[order], components_[order], own[order], sizes[order].astype(np.float64)
+        ids, components_, own, sizes = ids[order], components_[order], own[order], sizes[order].astype(np.float64)
         values = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint16).reshape(len(ids), -1)[order]
         one_block = rows.column("first")[0].as_py() == rows.column("second")[0].as_py()
         a_all, b_all = [], []
         for i in range(len(ids) - 1):
             j = np.arange(i + 1, len(ids))
-            ok = (components_[j] != components_[i]) & (np.minimum(sizes[j], sizes[i]) >= (threshold - 1e-12) * np.maximum(sizes[j], sizes[i])) & (ids[i] != leaders[i])
+            ok = (components_[j] != components_[i]) & (np.minimum(sizes[j], sizes[i]) >= (threshold - 1e-12) * np.maximum(sizes[j], sizes[i]))
             if not one_block:
                 ok &= own[j] != own[i]
             j = j[ok]
@@ -299,16 +301,19 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     near = members.select("id").distinct()
     held = staged(texts.join(near, "id", "left_semi").dropDuplicates(["id"]), "texts")
     linker = _Linker(held, first.join(near, "id", "left_semi"), shingle, percent)
-    direct = linker.links(linker.plausible(members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()), "direct")
+    shared = members.filter("id <> leader").groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("bands"))
+    nearest = Window.partitionBy("b").orderBy(F.desc("bands"), "a")
+    likely = shared.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= LEADERS).select("a", "b")
+    direct = linker.links(linker.plausible(likely), "direct")
     named = components(direct)
 
     # buckets that still hold several components
-    placed = members.join(named, "id", "left").select("key", "leader", "id", F.coalesce("component", "id").alias("component"))
+    placed = members.join(named, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     still = placed.join(mixed.join(several, "key"), "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     paired = still.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("key", F.least("own", "with").alias("first"), F.greatest("own", "with").alias("second"), "own", "id", "leader", "component")
+    paired = paired.select("key", F.least("own", "with").alias("first"), F.greatest("own", "with").alias("second"), "own", "id", "component")
     full = paired.join(linker.sides, "id").select(*[c.split()[0] for c in _CROSS.split(", ")])
     dealt = full.repartition(linker.partitions, "key", "first", "second").sortWithinPartitions("key", "first", "second")
     crossing = linker.links(dealt.mapInArrow(_across(percent / 100), "a long, b long"), "crossing")
