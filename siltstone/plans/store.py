@@ -27,5 +27,5 @@ def read_snapshot(spark: SparkSession, path: str, scan_id: str) -> DataFrame:
 
 
 def write_report(rows: DataFrame, path: str, order: list[str]) -> None:
-    """One sorted CSV file, in a folder with a _SUCCESS marker."""
+    """One sorted CSV file, in a folder with a _SUCCESS marker. Line breaks inside values should be escaped first (exprs.display), as paths are."""
     rows.orderBy(*order).coalesce(1).write.mode("overwrite").options(**CSV).csv(path)

