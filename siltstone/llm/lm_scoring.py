@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, hashed_words, mix, parallelism, table
 
 ORDER, CUTOFF, ALPHA = 2, 2, 0.4
-CHUNK_BYTES, RANGE_BYTES = 4 << 20, 8 << 20
+CHUNK_BYTES, RANGE_BYTES = 8 << 20, 8 << 20
 _U = np.uint64
 _EMPTY = _U(0x5851F42D4C957F2D)
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -76,6 +76,24 @@ def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[byt
         yield last, held
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit values byte plane by byte plane: the high planes are nearly constant, which the shuffle's compression takes out."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _values(planes: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def _sorted_planes(hashes: np.ndarray) -> bytes:
+    return _planes(np.diff(hashes, prepend=_U(0)))
+
+
+def _sorted_values(planes: bytes) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumsum(_values(planes, _U), dtype=_U)
+
+
 _BLOCKS = "chunk long, hash_range long, hashes binary, counts binary"
 _TOTALS = "chunk long, hash_range long, totals binary"
 
@@ -85,15 +103,15 @@ def _count(order: int, ranges: int):
         for chunk, texts in _by_chunk(batches):
             out, inside, _ = grams(texts, order)
             known, _, counts = _distinct(out, inside)
-            counts = counts.astype(np.uint32)
+            counts = counts.astype(np.int64)
             of = _range_of(known, ranges)
             cuts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True])))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(cuts) - 1, chunk, np.int64)),
                     pa.array(of[cuts[:-1]]),
-                    pa.array([known[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
-                    pa.array([counts[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+                    pa.array([_sorted_planes(known[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+                    pa.array([_planes(counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
                 ],
                 names=["chunk", "hash_range", "hashes", "counts"],
             )
@@ -106,11 +124,12 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def added(range_: int, held: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
         sizes = [len(h) // 8 for _, h, _ in held]
-        known, position = np.unique(np.frombuffer(b"".join(h for _, h, _ in held), _U), return_inverse=True)
-        totals = np.bincount(position, weights=np.frombuffer(b"".join(c for *_, c in held), np.uint32), minlength=len(known)).astype(np.int64)
+        known, position = np.unique(np.concatenate([_sorted_values(h) for _, h, _ in held]), return_inverse=True)
+        totals = np.zeros(len(known), np.int64)
+        np.add.at(totals, position, np.concatenate([_values(c, np.int64) for *_, c in held]))
         ends = np.cumsum(sizes)
         return pa.RecordBatch.from_arrays(
-            [pa.array([c for c, *_ in held], pa.int64()), pa.array([range_] * len(held), pa.int64()), pa.array([totals[position[e - n : e]].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary())],
+            [pa.array([c for c, *_ in held], pa.int64()), pa.array([range_] * len(held), pa.int64()), pa.array([_planes(totals[position[e - n : e]]) for e, n in zip(ends, sizes, strict=True)], pa.binary())],
             names=["chunk", "hash_range", "totals"],
         )
 
@@ -154,7 +173,7 @@ def _score(order: int, cutoff: int, alpha: float):
         out, inside, at = grams(as_bytes(docs.column("text").combine_chunks()), order)
         _, position, _ = _distinct(out, inside)
         ordered = sorted(zip(blocks.column("hash_range").to_pylist(), blocks.column("totals").to_pylist(), strict=True))
-        totals = np.frombuffer(b"".join(t for _, t in ordered), np.int64)
+        totals = np.concatenate([_values(t, np.int64) for _, t in ordered])
         logs, less = backoff(totals, out, inside, position, cutoff, alpha)
         sums = [np.concatenate(([0], np.cumsum(x)))[at] for x in (logs, less.astype(np.int64))]
         return pa.table({"id": docs.column("id"), "n_words": np.diff(at), "log_prob_micro": np.diff(sums[0]), "n_backoff": np.diff(sums[1])})
