@@ -186,16 +186,32 @@ class Lookup:
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label_column: str, most: int, short: int, id_column: str = "doc_id", text_column: str = "text", parts: int = 4, held_out: int = 2
 ) -> tuple[list[tuple[int, bytes, int]], dict[int, int]]:
-    """([(id, whole text, label)], rows of each label): at most `most` training rows of each label 0 and 1, by smallest hash, texts of up to `short` bytes before longer ones. Rows of the held-out fold are never read."""
+    """([(id, whole text, label)], rows of each label): at most `most` training rows of each label 0 and 1, by hash, texts of up to `short` bytes before longer ones. The held-out fold is left out. Identifiers are chosen without their texts."""
     known = labels.select(F.col(id_column), F.col(label_column).cast("int").alias("label")).filter(F.col("label").isin(0, 1)).distinct()
-    train = docs.filter(F.col(text_column).isNotNull() & (fold(id_column, parts) != held_out)).select(id_column, F.col(text_column).cast("string").alias("text"))
-    joined = train.join(known, id_column).select(F.col(id_column).cast("long").alias("id"), "label", "text", (F.octet_length("text") > short).alias("long"), F.xxhash64(id_column).alias("h"))
-    totals = {r["label"]: r["n"] for r in joined.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    rows = []
+    train = docs.filter(F.col(text_column).isNotNull() & (fold(id_column, parts) != held_out)).select(id_column, (F.octet_length(F.col(text_column).cast("string")) > short).alias("long"))
+    joined = train.join(known, id_column).select(F.col(id_column).alias("id"), "label", "long", F.xxhash64(id_column).alias("h"))  # without texts
+    counts = {(r["label"], r["long"]): r["n"] for r in joined.groupBy("label", "long").agg(F.count("*").alias("n")).collect()}
+    totals: dict[int, int] = {}
+    labelled: dict = {}
+    for (label, _), n in counts.items():
+        totals[label] = totals.get(label, 0) + n
     for label in sorted(totals):
-        part = joined.filter(F.col("label") == label).orderBy("long", "h", "id").limit(most)
-        rows += [(r["id"], r["text"].encode(), label) for r in part.select("id", "text").collect()]
-    return rows, totals
+        left = most
+        for long in (False, True):
+            if left and (label, long) in counts:
+                part = joined.filter((F.col("label") == label) & (F.col("long") == long) & likely(F.col("h"), left, counts[label, long]))
+                found = [r["id"] for r in part.orderBy("h", "id").limit(left).collect()]
+                labelled |= dict.fromkeys(found, label)
+                left -= min(left, counts[label, long])
+    chosen = docs.filter(F.col(id_column).isin(list(labelled)) & F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    rows = [(int(r["id"]), r["text"].encode(), labelled[r["id"]]) for r in chosen.dropDuplicates(["id"]).collect()] if labelled else []
+    return sorted(rows, key=lambda r: (r[2], r[0])), totals
+
+
+def likely(hashed: Column, wanted: int, among: int) -> Column:
+    """Whether a row's hash is low enough to be among the `wanted` lowest: so that an ordered limit gathers about that many rows, however many partitions each could offer as many."""
+    share = min(1.0, (1.25 * wanted + 200) / max(1, among))
+    return F.pmod(hashed, F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)
 
 
 def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism, staged, table
+from .common import likely, parallelism, staged, table
 from .components import components
 
 PIVOTS, NEAREST, SHARED = 64, 7, 5
@@ -204,7 +204,7 @@ def embedding_groups(vectors: DataFrame, id_column: str = "vec_id", vector_colum
     first = keyed.join(classes.withColumnRenamed("class_id", "id"), ["id", *content]).dropDuplicates(["id"]).select("id", "label", "vector", "dimension", "copies")
 
     # a sample of fixed size, the same however the rows are dealt
-    taken = keyed.orderBy(F.xxhash64("id"), "id").select("vector", "dimension").limit(SAMPLE).collect()
+    taken = keyed.filter(likely(F.xxhash64("id"), SAMPLE, keyed.count())).orderBy(F.xxhash64("id"), "id").select("vector", "dimension").limit(SAMPLE).collect()
     pivots = {}
     for d in sorted({r["dimension"] for r in taken}):
         pivots[d] = chosen_pivots(np.array([np.frombuffer(r["vector"], np.float64) for r in taken if r["dimension"] == d]), d)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fold, in_pieces, mix, slices, table
+from .common import as_bytes, fold, in_pieces, likely, mix, slices, table
 
 LENGTHS = (3, 4, 5)
 #: Training texts of a language, and the length beyond which a text is taken only if there are too few others.
@@ -161,11 +161,17 @@ def learnt(rows: list[tuple[str, bytes]]) -> LanguageFilters | None:
 def sample_of(docs: DataFrame, id_column: str, text_column: str, label_column: str, parts: int = PARTS, held_out: int = HELD_OUT) -> list[tuple[str, bytes]]:
     """Labelled training rows: SAMPLE per language, by smallest hash; languages beyond the 64 commonest are left out."""
     train = docs.filter(F.col(label_column).isNotNull() & F.col(text_column).isNotNull() & (fold(id_column, parts) != held_out))
-    named = [r[0] for r in train.groupBy(label_column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label_column).limit(64).collect()]
+    long = F.octet_length(text_column) > LEARNT_BYTES
+    counts = train.groupBy(label_column).agg(F.count("*").alias("n"), F.count_if(long).alias("long")).orderBy(F.desc("n"), label_column).limit(64).collect()
     rows = []
-    for language in named:
-        part = train.filter(F.col(label_column) == language).select(F.col(text_column).alias("text"), (F.octet_length(text_column) > LEARNT_BYTES).alias("long"), F.xxhash64(F.col(id_column)).alias("h"), F.col(id_column).alias("i"))
-        rows += [(language, r["text"].encode()) for r in part.orderBy("long", "h", "i").limit(SAMPLE).collect()]
+    for language, n, n_long in counts:
+        left = SAMPLE
+        for is_long, held in ((False, n - n_long), (True, n_long)):
+            if left > 0 and held:
+                part = train.filter((F.col(label_column) == language) & (long == is_long)).select(F.col(text_column).alias("text"), F.xxhash64(F.col(id_column)).alias("h"), F.col(id_column).alias("i"))
+                found = part.filter(likely(F.col("h"), left, held)).orderBy("h", "i").limit(left).collect()
+                rows += [(language, r["text"].encode()) for r in found]
+                left = left - held
     return rows
 
 
