@@ -10,7 +10,9 @@ of its maximum or less, or where set sizes alone forbid it; all others are confi
 Texts of one set (copies) collapse to their smallest identifier first. A text is compared with the
 smallest members of its buckets, the four that it shares most bands with. Where a bucket then still holds members of different components, those are compared with each
 other by their registers: in blocks of 256, each pair of blocks a task's own group, so that neither is a bucket held
-whole nor are its pairs made; only pairs that may link leave a block, once, from the first band they share. So no pair
+whole nor are its pairs made; pairs that may link leave a block as lists, once, from the first band they share, and are
+verified in blocks too, on the 64-bit hashes of the full sets: a text is sent to a block, not to a partner. Of the links
+found so, those that unite components of a block are confirmed on the words. So no pair
 that shares a band is left out unless it is in one component already. At similarity 0.85 a pair shares none of 32 bands of 6 with a
 chance of 3e-7.
 
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +39,7 @@ BASE, RATE, MOST = 1.001, 20.0, (1 << 16) - 2
 #: Natural logarithm of the likelihood ratio beyond which an estimate rules a pair out: five standard deviations.
 RULED_OUT = 12.5
 MEMBERS = 64
-BLOCK = 256
+BLOCK, BLOCK_BYTES = 256, 1 << 24
 #: Smallest members of its buckets that a text is compared with at first; what that leaves apart is compared in blocks.
 LEADERS = 4
 _U = np.uint64
@@ -111,6 +114,18 @@ def estimated(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarr
     return likeliest, may & (top >= threshold - 1e-12)
 
 
+def shingle_sets(texts: list[bytes | None], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct shingle hashes of every text, start of each text's; one more start at the end)"""
+    words, at = hashed_words(texts)
+    shingles, at = windows(words, at, shingle)
+    for i in range(len(at) - 1):
+        shingles[at[i] : at[i + 1]].sort()
+    new = np.ones(len(shingles), np.bool_)
+    new[1:] = shingles[1:] != shingles[:-1]
+    new[at[:-1][at[:-1] < len(shingles)]] = True
+    return shingles[new], np.concatenate(([0], np.cumsum(new)))[at]
+
+
 _SKETCH = "id long, n_shingles long, set_a long, set_b long, registers binary, bands array<long>"
 
 
@@ -118,15 +133,7 @@ def _sketch(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                words, at = hashed_words(as_bytes(part.column("text")))
-                shingles, at = windows(words, at, shingle)
-                for i in range(len(at) - 1):
-                    shingles[at[i] : at[i + 1]].sort()
-                new = np.ones(len(shingles), np.bool_)
-                new[1:] = shingles[1:] != shingles[:-1]
-                new[at[:-1][at[:-1] < len(shingles)]] = True
-                kept = np.concatenate(([0], np.cumsum(new)))[at]
-                shingles, at = shingles[new], kept
+                shingles, at = shingle_sets(as_bytes(part.column("text")), shingle)
                 count = np.diff(at)
                 with np.errstate(over="ignore"):
                     sums = [np.concatenate(([_U(0)], np.cumsum(mix(shingles ^ _U(salt))))) for salt in (0x1234567, 0x89ABCDEF1)]
@@ -165,18 +172,40 @@ def _may_link(threshold: float):
     return run
 
 
-_CROSS = "key long, first int, second int, own int, id long, component long, n_shingles long, registers binary"
+_CROSS = "key long, first int, second int, own int, id long, component long, block long, n_shingles long, registers binary"
+_LISTS = "x long, y long, a array<long>, b array<long>, ids array<long>"
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each key, of rows sorted by keys."""
+    last, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = [batch.column(c).to_numpy() for c in keys]
+        new = np.ones(batch.num_rows, np.bool_)
+        new[1:] = np.any([v[1:] != v[:-1] for v in values], axis=0)
+        starts = np.flatnonzero(new)
+        for lo, hi in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            key = tuple(v[lo] for v in values)
+            if key != last and held:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            last = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _across(threshold: float):
-    """Rows sorted by (key, first, second): pairs of one group that are in different components and may link."""
+    """Rows sorted by (key, first, second): pairs of one group that are in different components and may link, one row of lists for each pair of blocks that verifies them."""
 
     def compared(rows: pa.Table) -> pa.RecordBatch | None:
-        ids, components_, own, sizes = (rows.column(c).to_numpy() for c in ("id", "component", "own", "n_shingles"))
+        ids, components_, own, block, sizes = (rows.column(c).to_numpy() for c in ("id", "component", "own", "block", "n_shingles"))
         if len(ids) < 2 or (components_ == components_[0]).all():
             return None
         order = np.argsort(ids, kind="stable")
-        ids, components_, own, sizes = ids[order], components_[order], own[order], sizes[order].astype(np.float64)
+        ids, components_, own, block, sizes = ids[order], components_[order], own[order], block[order], sizes[order].astype(np.float64)
         values = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint16).reshape(len(ids), -1)[order]
         one_block = rows.column("first")[0].as_py() == rows.column("second")[0].as_py()
         a_all, b_all = [], []
@@ -197,38 +226,91 @@ def _across(threshold: float):
                 shared = (values[j] == values[i]).reshape(len(j), BANDS, ROWS).all(2)
                 first = band_keys(values[i : i + 1])[0][shared.argmax(1)]
                 j = j[first == rows.column("key")[0].as_py()]
-                a_all.append(np.full(len(j), ids[i]))
-                b_all.append(ids[j])
-        if not a_all:
+                a_all.append(np.full(len(j), i))
+                b_all.append(j)
+        if not sum(map(len, a_all)):
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_all), pa.int64()), pa.array(np.concatenate(b_all), pa.int64())], names=["a", "b"])
+        a, b = np.concatenate(a_all), np.concatenate(b_all)
+        x, y = np.minimum(block[a], block[b]), np.maximum(block[a], block[b])
+        made: dict = {c: [] for c in ("x", "y", "a", "b", "ids")}
+        order = np.lexsort((y, x))
+        ends = np.flatnonzero(np.diff(x[order]) | np.diff(y[order])) + 1
+        for of in np.split(order, ends):
+            for c, v in zip(made, (x[of[0]], y[of[0]], ids[a[of]], ids[b[of]], ids[np.union1d(a[of], b[of])]), strict=True):
+                made[c].append(v)
+        lists = pa.list_(pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if c in "xy" else lists) for c, v in made.items()], names=list(made))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            values = [batch.column(c).to_numpy() for c in ("key", "first", "second")]
-            new = np.ones(batch.num_rows, np.bool_)
-            new[1:] = np.any([v[1:] != v[:-1] for v in values], axis=0)
-            starts = np.flatnonzero(new)
-            for lo, hi in zip(starts, [*starts[1:], batch.num_rows], strict=True):
-                key = tuple(v[lo] for v in values)
-                if key != last and held:
-                    found = compared(pa.Table.from_batches(held).combine_chunks())
-                    if found is not None:
-                        yield found
-                    held = []
-                last = key
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            found = compared(pa.Table.from_batches(held).combine_chunks())
+        for rows in _grouped(batches, ("key", "first", "second")):
+            found = compared(rows)
             if found is not None:
                 yield found
 
     return run
 
 
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                shingles, at = shingle_sets(as_bytes(part.column("text")), shingle)
+                held = [shingles[at[i] : at[i + 1]].tobytes() for i in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(held, pa.binary())], names=["id", "hashes"])
+
+    return run
+
+
+_VERIFY = "x long, y long, a array<long>, b array<long>, id long, component long, hashes binary"
+TOGETHER = 32
+
+
+def _united(percent: int):
+    """Rows sorted by (x, y): the pairs of two blocks, and the components and sets of their texts. Gives links between components, none that the links before it imply."""
+
+    def united(rows: pa.Table) -> pa.RecordBatch:
+        is_text = pc.is_valid(rows.column("id"))
+        texts, lists = rows.filter(is_text), rows.filter(pc.invert(is_text))
+        sets = {i: np.frombuffer(h, _U) for i, h in zip(texts.column("id").to_pylist(), texts.column("hashes").to_pylist(), strict=True)}
+        component = dict(zip(texts.column("id").to_pylist(), texts.column("component").to_pylist(), strict=True))
+        parent = {c: c for c in component.values()}
+
+        def root(i: int) -> int:
+            c = component[i]
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        a, b = (np.concatenate([v.values.to_numpy() for v in lists.column(c)]) for c in ("a", "b"))
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        u, v = [], []
+        for of in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1):
+            i = int(a[of[0]])
+            own, others = sets[i], b[of].tolist()
+            for at in range(0, len(others), TOGETHER):
+                some = [j for j in others[at : at + TOGETHER] if root(j) != root(i)]
+                if not some:
+                    continue
+                sizes = np.array([len(sets[j]) for j in some])
+                joined = np.concatenate([sets[j] for j in some])
+                hit = own[np.minimum(np.searchsorted(own, joined), len(own) - 1)] == joined
+                shared = np.add.reduceat(hit, np.concatenate(([0], np.cumsum(sizes)[:-1])), dtype=np.int64)
+                for j in np.array(some)[100 * shared >= percent * (len(own) + sizes - shared)].tolist():
+                    if root(j) != root(i):
+                        parent[root(j)] = root(i)
+                        u.append(i)
+                        v.append(j)
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches, ("x", "y")):
+            yield united(rows)
+
+    return run
+
+
 def _word_set(text: bytes, shingle: int) -> set:
     words = text.lower().split()
     if len(words) < shingle:
@@ -274,6 +356,15 @@ class _Linker:
         both = pairs.join(a, "a").join(b, "b").filter(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * self.percent)
         return both.mapInArrow(_may_link(self.percent / 100), "a long, b long")
 
+    def united(self, lists: DataFrame, placed: DataFrame) -> DataFrame:
+        """Of lists of pairs, the pairs that unite components, told by the hashes of the full sets."""
+        columns = [F.col(c.split()[0]).cast(c.split(" ", 1)[1]) for c in _VERIFY.split(", ")]
+        met = lists.select("x", "y", F.explode("ids").alias("id")).distinct()
+        sets = self.texts.join(met.select("id").distinct(), "id").select("id", "text").mapInArrow(_sets(self.shingle), "id long, hashes binary")
+        rows = met.join(sets, "id").join(placed, "id").unionByName(lists.drop("ids"), allowMissingColumns=True).select(*columns)
+        dealt = rows.repartition(self.partitions, "x", "y").sortWithinPartitions("x", "y")
+        return dealt.mapInArrow(_united(self.percent), "a long, b long")
+
     def links(self, pairs: DataFrame, tag: str) -> DataFrame:
         """a: leader, b: member. A leader of many is dealt to several tasks, each with its text."""
         pairs = staged(pairs, f"{tag}-pairs")
@@ -311,12 +402,18 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     placed = members.join(named, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    still = placed.join(mixed.join(several, "key"), "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    still = staged(placed.join(mixed.join(several, "key"), "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")), "still")
+    # texts that meet in many buckets are verified together, in blocks of the component that the leaders make
+    homes = still.select("id", "component").distinct().join(linker.sides, "id").join(components(likely.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("component", "home"), "id", "left")
+    homes = staged(homes.withColumn("home", F.coalesce("home", "id")), "homes")
+    parts = homes.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).alias("parts"))
+    homes = homes.join(parts, "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("id", F.lit("block")), "parts"))).drop("home", "parts")
     paired = still.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("key", F.least("own", "with").alias("first"), F.greatest("own", "with").alias("second"), "own", "id", "component")
-    full = paired.join(linker.sides, "id").select(*[c.split()[0] for c in _CROSS.split(", ")])
+    paired = paired.select("key", F.least("own", "with").alias("first"), F.greatest("own", "with").alias("second"), "own", "id")
+    full = paired.join(homes, "id").select(*[c.split()[0] for c in _CROSS.split(", ")])
     dealt = full.repartition(linker.partitions, "key", "first", "second").sortWithinPartitions("key", "first", "second")
-    crossing = linker.links(dealt.mapInArrow(_across(percent / 100), "a long, b long"), "crossing")
+    lists = staged(dealt.mapInArrow(_across(percent / 100), _LISTS), "lists")
+    crossing = linker.links(linker.united(lists, homes.select("id", "component")), "crossing")
     found = components(named.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(crossing))
 
     classes = sketches.select("id", "n_shingles", "set_a", "set_b").join(sets, ["set_a", "set_b", "n_shingles"], "left")
