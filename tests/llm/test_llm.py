@@ -89,6 +89,21 @@ def test_near_brute_force(spark):
     assert near_dedup.near_groups(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_near_cloud(spark, monkeypatch):
+    """A cloud of copies edited again and again: chains of links, many pairs just below the threshold, more members than a block."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 40)
+    rng = np.random.default_rng(7)
+    base = [f"v{i}" for i in range(150)]
+    texts = [(i, " ".join(base)) for i in range(3)]
+    for i in range(3, 300):
+        words_ = list(texts[int(rng.integers(0, i))][1].split()) if i % 3 else list(base)
+        for _ in range(int(rng.integers(1, 9))):
+            words_[int(rng.integers(0, 150))] = "y" + str(rng.integers(0, 10**6))
+        texts.append((i, " ".join(words_)))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(docs(spark, texts)).collect()}
+    assert got == brute_components({i: shingles(t) for i, t in texts})
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 2**63, (2, 900)).astype(np.uint64)
