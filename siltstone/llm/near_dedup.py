@@ -9,7 +9,7 @@ of its maximum or less, or where set sizes alone forbid it; all others are confi
 
 Texts of one set (copies) collapse to their smallest identifier first. A text is compared with the
 smallest members of its buckets, the four that it shares most bands with. Where a bucket then still holds members of different components, those are compared with each
-other by their registers: in blocks of 256, each pair of blocks a task's own group, so that neither is a bucket held
+other by their registers: in blocks of 512, each pair of blocks a task's own group, so that neither is a bucket held
 whole nor are its pairs made; pairs that may link leave a block as lists, once, from the first band they share, and are
 verified in blocks too, on the 64-bit hashes of the full sets: a text is sent to a block, not to a partner. Of the links
 found so, those that unite components of a block are confirmed on the words. So no pair
@@ -39,7 +39,7 @@ BASE, RATE, MOST = 1.001, 20.0, (1 << 16) - 2
 #: Natural logarithm of the likelihood ratio beyond which an estimate rules a pair out: five standard deviations.
 RULED_OUT = 12.5
 MEMBERS = 64
-BLOCK, BLOCK_BYTES = 256, 1 << 24
+BLOCK, BLOCK_BYTES = 512, 1 << 24
 #: Smallest members of its buckets that a text is compared with at first; what that leaves apart is compared in blocks.
 LEADERS = 4
 _U = np.uint64
