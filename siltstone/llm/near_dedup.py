@@ -5,14 +5,14 @@ shingle). Each of 192 registers holds floor(1 - log_b(least exponential draw of
 registers of a union are the maxima, so sketches merge, and two sets agree in a register with a chance that grows with
 their Jaccard similarity. Six registers make a band; texts with an equal band meet in a bucket. A pair is dropped
 without its texts only where the joint likelihood of (greater, smaller, equal) registers at the threshold is e^-12.5
-of its maximum or less, or where set sizes alone forbid it; all others are confirmed on the full sets of words.
+of its maximum or less, or where set sizes alone forbid it; all others are confirmed on the full sets, a shingle being
+a 64-bit hash of its words.
 
 Texts of one set (copies) collapse to their smallest identifier first. A text is compared with the
 smallest members of its buckets, the four that it shares most bands with. Where a bucket then still holds members of different components, those are compared with each
 other by their registers: in blocks of 512, each pair of blocks a task's own group, so that neither is a bucket held
 whole nor are its pairs made; pairs that may link leave a block as lists, once, from the first band they share, and are
-verified in blocks too, on the 64-bit hashes of the full sets: a text is sent to a block, not to a partner. Of the links
-found so, those that unite components of a block are confirmed on the words. So no pair
+verified in blocks too: a text is sent to a block, not to a partner. So no pair
 that shares a band is left out unless it is in one component already. At similarity 0.85 a pair shares none of 32 bands of 6 with a
 chance of 3e-7.
 
@@ -295,14 +295,13 @@ def _united(percent: int):
                     continue
                 sizes = np.array([len(sets[j]) for j in some])
                 joined = np.concatenate([sets[j] for j in some])
-                hit = own[np.minimum(np.searchsorted(own, joined), len(own) - 1)] == joined
-                shared = np.add.reduceat(hit, np.concatenate(([0], np.cumsum(sizes)[:-1])), dtype=np.int64)
+                shared = np.add.reduceat(_shared(own, joined), np.concatenate(([0], np.cumsum(sizes)[:-1])), dtype=np.int64)
                 for j in np.array(some)[100 * shared >= percent * (len(own) + sizes - shared)].tolist():
                     if root(j) != root(i):
                         parent[root(j)] = root(i)
                         u.append(i)
                         v.append(j)
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, ("x", "y")):
@@ -311,28 +310,27 @@ def _united(percent: int):
     return run
 
 
-def _word_set(text: bytes, shingle: int) -> set:
-    words = text.lower().split()
-    if len(words) < shingle:
-        return {tuple(words)} if words else set()
-    return set(zip(*(words[k:] for k in range(shingle)), strict=False))
+def _shared(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of others are in the sorted, non-empty own."""
+    return own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
 
 
 def _confirm(shingle: int, percent: int):
-    """Rows sorted by (leader, salt, role): the leader's text, then its members'. Holds one leader's set and one member's."""
+    """Rows sorted by (leader, salt, role): the leader's text, then its members'. Holds one leader's set and a slice of members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, leader = None, set()
+        key, leader = None, np.empty(0, _U)
         for batch in batches:
             for part in slices(batch):
                 a, b = [], []
-                for lead, salt, member, text in zip(part.column("leader").to_pylist(), part.column("salt").to_pylist(), part.column("id").to_pylist(), as_bytes(part.column("text")), strict=True):
-                    own = _word_set(text or b"", shingle)
+                shingles, at = shingle_sets(as_bytes(part.column("text")), shingle)
+                for i, (lead, salt, member) in enumerate(zip(*(part.column(c).to_pylist() for c in ("leader", "salt", "id")), strict=True)):
+                    own = shingles[at[i] : at[i + 1]]
                     if member == lead:
-                        key, leader = (lead, salt), own
+                        key, leader = (lead, salt), own.copy()
                     elif key == (lead, salt):
-                        shared = len(leader & own)
-                        if 100 * shared >= percent * (len(leader) + len(own) - shared):
+                        shared = int(_shared(leader, own).sum()) if len(leader) else 0
+                        if shared and 100 * shared >= percent * (len(leader) + len(own) - shared):
                             a.append(lead)
                             b.append(member)
                     else:
@@ -357,13 +355,13 @@ class _Linker:
         return both.mapInArrow(_may_link(self.percent / 100), "a long, b long")
 
     def united(self, lists: DataFrame, placed: DataFrame) -> DataFrame:
-        """Of lists of pairs, the pairs that unite components, told by the hashes of the full sets."""
+        """Of lists of pairs, the links that unite components."""
         columns = [F.col(c.split()[0]).cast(c.split(" ", 1)[1]) for c in _VERIFY.split(", ")]
         met = lists.select("x", "y", F.explode("ids").alias("id")).distinct()
         sets = self.texts.join(met.select("id").distinct(), "id").select("id", "text").mapInArrow(_sets(self.shingle), "id long, hashes binary")
         rows = met.join(sets, "id").join(placed, "id").unionByName(lists.drop("ids"), allowMissingColumns=True).select(*columns)
         dealt = rows.repartition(self.partitions, "x", "y").sortWithinPartitions("x", "y")
-        return dealt.mapInArrow(_united(self.percent), "a long, b long")
+        return dealt.mapInArrow(_united(self.percent), "u long, v long")
 
     def links(self, pairs: DataFrame, tag: str) -> DataFrame:
         """a: leader, b: member. A leader of many is dealt to several tasks, each with its text."""
@@ -413,7 +411,7 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     full = paired.join(homes, "id").select(*[c.split()[0] for c in _CROSS.split(", ")])
     dealt = full.repartition(linker.partitions, "key", "first", "second").sortWithinPartitions("key", "first", "second")
     lists = staged(dealt.mapInArrow(_across(percent / 100), _LISTS), "lists")
-    crossing = linker.links(linker.united(lists, homes.select("id", "component")), "crossing")
+    crossing = staged(linker.united(lists, homes.select("id", "component")), "crossing")
     found = components(named.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(crossing))
 
     classes = sketches.select("id", "n_shingles", "set_a", "set_b").join(sets, ["set_a", "set_b", "n_shingles"], "left")
