@@ -392,8 +392,8 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     linker = _Linker(held, first.join(near, "id", "left_semi"), shingle, percent)
     shared = members.filter("id <> leader").groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("bands"))
     nearest = Window.partitionBy("b").orderBy(F.desc("bands"), "a")
-    likely = shared.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= LEADERS).select("a", "b")
-    direct = linker.links(linker.plausible(likely), "direct")
+    likely = staged(shared.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= LEADERS).select("a", "b", "place"), "likely")
+    direct = linker.links(linker.plausible(likely.select("a", "b")), "direct")
     named = components(direct)
 
     # buckets that still hold several components
@@ -401,9 +401,11 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     mixed = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     still = staged(placed.join(mixed.join(several, "key"), "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")), "still")
-    # texts that meet in many buckets are verified together, in blocks of the component that the leaders make
-    homes = still.select("id", "component").distinct().join(linker.sides, "id").join(components(likely.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("component", "home"), "id", "left")
-    homes = staged(homes.withColumn("home", F.coalesce("home", "id")), "homes")
+    # texts that meet in many buckets are verified together, in blocks of a component: their own, or else their nearest leader's
+    led = likely.filter("place = 1").select(F.col("b").alias("id"), F.col("a").alias("leader"))
+    led = led.join(named.select(F.col("id").alias("leader"), F.col("component").alias("led")), "leader", "left").select("id", F.coalesce("led", "leader").alias("led"))
+    homes = still.select("id", "component").distinct().join(linker.sides, "id").join(named.select("id", F.col("component").alias("linked")), "id", "left").join(led, "id", "left")
+    homes = staged(homes.withColumn("home", F.coalesce("linked", "led", "id")).drop("linked", "led"), "homes")
     parts = homes.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).alias("parts"))
     homes = homes.join(parts, "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("id", F.lit("block")), "parts"))).drop("home", "parts")
     paired = still.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
