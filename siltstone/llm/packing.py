@@ -21,6 +21,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,8 @@ WINDOW = 2048
 END_ID = 1
 COMBINATIONS = 6000
 SWEEPS = 40
-_CACHED = 250_000
+_CACHED = 600_000
+_JOINED = 200
 _BETWEEN = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -42,7 +44,8 @@ class CachedTokenizer:
     """Byte-level BPE ids by the tokenizers library, remembered by chunk.
 
     The pre-tokenizer always cuts before a single space that stands between two other characters, so chunks that begin there
-    are tokenised alone with the same result. A text with other runs of space takes the slow split."""
+    are tokenised alone with the same result. New chunks are tokenised many to a call, joined by their spaces, and told apart
+    by the pieces that hold a space, one for each chunk. A text with other runs of space takes the slow split."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,6 +53,10 @@ class CachedTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes | None] = {}
+        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
+        pieces = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(pieces.values()) + 1, np.bool_)
+        self.begins[[i for piece, i in pieces.items() if space in piece]] = True
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -58,17 +65,23 @@ class CachedTokenizer:
         for x in parts:
             self.known[x] = None
         safe = [x for x in parts if x and not x[0].isspace() and not x[-1].isspace()]
-        for x, ids in zip(safe, self._encode([" " + x for x in safe]), strict=True):
-            self.known[x] = ids
+        groups = [safe[i : i + _JOINED] for i in range(0, len(safe), _JOINED)]
+        for group, joined in zip(groups, self._encode([" " + " ".join(g) for g in groups]), strict=True):
+            starts = 4 * np.flatnonzero(self.begins[np.frombuffer(joined, np.uint32)])
+            if len(starts) == len(group) and starts[0] == 0:
+                at = [*starts.tolist(), len(joined)]
+                self.known.update(zip(group, [joined[a:b] for a, b in pairwise(at)], strict=True))
+            else:
+                self.known.update(zip(group, self._encode([" " + x for x in group]), strict=True))
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.known) > _CACHED:
-            self.known.clear()
         split = [t.split(" ") for t in texts]
         new: set[str] = set()
         for parts in split:
             new.update(parts)
+        if len(self.known) > _CACHED:  # what this batch needs, the common chunks with it, stays
+            self.known = {x: self.known[x] for x in new if x in self.known}
         new.difference_update(self.known)
         if new:
             self._learn(list(new))
