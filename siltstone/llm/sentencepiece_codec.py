@@ -167,13 +167,13 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[bytes | None]:
         """32-bit ids of each text."""
-        if len(self.known) > _CACHED:
-            self.known.clear()
         cut = [None if t is None else self._words(t) for t in texts]
         new: set[str] = set()
         for words in cut:
             if words:
                 new.update(words)
+        if len(self.known) > _CACHED:  # what these texts need, the common words with it, stays
+            self.known = {w: self.known[w] for w in new if w in self.known}
         new.difference_update(self.known)
         self._learn(new)
         get = self.known.__getitem__
