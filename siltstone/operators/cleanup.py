@@ -61,6 +61,18 @@ def clusters(files: DataFrame, risk: str | None = None, blocked: Sequence[str] =
     return made.filter("physical_copies >= 2 AND extensions = 1 AND most = 1 AND least = 0").select("cleanup_group_number", "group_risk", *CLUSTER, "members", "physical_copies")
 
 
+def whole_groups(files: DataFrame, risk: str | None = None) -> DataFrame:
+    """Every group as one set, whatever its names: for review and quarantine, not for deletion."""
+    return cleanup_groups(files, risk).select("cleanup_group_number", "group_risk", *CONTENT, F.lit("").alias("parent"), F.lit("").alias("plain"), F.col("path_count").alias("members"), "physical_copies")
+
+
+def chosen_groups(found: DataFrame, include: Sequence[int] = (), exclude: Sequence[int] = ()) -> DataFrame:
+    """Groups by number; no numbers to include means all, and to exclude wins."""
+    number = F.col("cleanup_group_number")
+    out = found.filter(number.isin(list(include))) if include else found
+    return out.filter(~number.isin(list(exclude))) if exclude else out
+
+
 def _first_glob(path: Column, globs: Sequence[str]) -> Column:
     out = F.lit(len(globs))
     for i, glob in reversed(list(enumerate(globs))):
@@ -68,9 +80,12 @@ def _first_glob(path: Column, globs: Sequence[str]) -> Column:
     return out
 
 
-def keepers(files: DataFrame, found: DataFrame, protect: Sequence[str] = (), keep: Sequence[str] = (), delete: Sequence[str] = ()) -> DataFrame:
-    """Members of clusters, ranked: protected, then kept by preference, then not preferred for deletion, then plain names, then short, then the path."""
-    members = with_cluster(candidates(files)).join(found.select("cleanup_group_number", "group_risk", *CLUSTER), CLUSTER)
+def keepers(files: DataFrame, found: DataFrame, protect: Sequence[str] = (), keep: Sequence[str] = (), delete: Sequence[str] = (), whole: bool = False) -> DataFrame:
+    """Members of clusters (or of whole groups), ranked: protected, then kept by preference, then not preferred for deletion, then plain names, then short, then the path."""
+    rows = with_cluster(candidates(files))
+    if whole:
+        rows = rows.withColumn("parent", F.lit("")).withColumn("plain", F.lit(""))
+    members = rows.join(found.select("cleanup_group_number", "group_risk", *CLUSTER), CLUSTER)
     path = F.col("path")
     protected = F.lit(False)
     for p in protect:
@@ -83,18 +98,27 @@ def keepers(files: DataFrame, found: DataFrame, protect: Sequence[str] = (), kee
     return ranked
 
 
-def proposals(ranked: DataFrame) -> DataFrame:
-    """One candidate per physical identity other than the keeper's: its first path. Protected paths are never candidates."""
+def paired(ranked: DataFrame) -> DataFrame:
+    """One candidate per physical identity other than the keeper's: its first path that is not protected."""
     cluster = ["cleanup_group_number", *CLUSTER]
-    keeper = ranked.filter("place = 1").select(*cluster, F.col("path").alias("keeper_path"), F.col("device").alias("keeper_device"), F.col("inode").alias("keeper_inode"))
+    keeper = ranked.filter("place = 1").select(*cluster, F.col("id").alias("keeper_id"), F.col("path").alias("keeper_path"), F.col("device").alias("keeper_device"), F.col("inode").alias("keeper_inode"))
     rest = ranked.join(keeper, cluster).filter("NOT (device = keeper_device AND inode = keeper_inode)")
     first = rest.withColumn("n", F.row_number().over(Window.partitionBy(*cluster, "device", "inode").orderBy("path", "id"))).filter("n = 1 AND NOT protected")
-    return first.select("cleanup_group_number", "group_risk", *CONTENT, "keeper_path", F.col("path").alias("candidate_path"), "id")
+    return first.select("cleanup_group_number", "group_risk", *CONTENT, "keeper_id", "keeper_path", F.col("id").alias("candidate_id"), F.col("path").alias("candidate_path"))
+
+
+def proposals(ranked: DataFrame) -> DataFrame:
+    return paired(ranked).select("cleanup_group_number", "group_risk", *CONTENT, "keeper_path", "candidate_path", F.col("candidate_id").alias("id"))
+
+
+#: By eligibility, whether candidates count as automatic and the reason given.
+REASONS = {"automatic": ("yes", "same-folder-obvious-numbered-copy"), "all": ("no", "manual-all-risk-group")}
 
 
-def manifest(proposed: DataFrame) -> DataFrame:
+def manifest(proposed: DataFrame, eligibility: str = "automatic") -> DataFrame:
+    automatic, reason = REASONS[eligibility]
     return proposed.select(
-        F.col("cleanup_group_number").alias("group_number"), "group_risk", F.lit("yes").alias("automatic_cleanup_eligible"), F.lit("same-folder-obvious-numbered-copy").alias("eligibility_reason"), *CONTENT, "keeper_path", "candidate_path"
+        F.col("cleanup_group_number").alias("group_number"), "group_risk", F.lit(automatic).alias("automatic_cleanup_eligible"), F.lit(reason).alias("eligibility_reason"), *CONTENT, "keeper_path", "candidate_path"
     )
 
 

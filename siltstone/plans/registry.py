@@ -54,6 +54,11 @@ def _proposals(spark, d):
     return cleanup.proposals(cleanup.keepers(files, cleanup.clusters(files, "low")))
 
 
+def _whole_proposals(spark, d):
+    files = A.cleanup_inventory(spark, d)
+    return cleanup.proposals(cleanup.keepers(files, cleanup.whole_groups(files, "low"), whole=True))
+
+
 def _keepers(spark, d):
     files = A.cleanup_inventory(spark, d)
     return cleanup.keepers(files, cleanup.clusters(files, "low")).filter("place = 1").select("cleanup_group_number", "path", "id")
@@ -119,6 +124,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cleanup_clusters": lambda s, d: cleanup.clusters(A.cleanup_inventory(s, d), "low"),
         "cleanup_keeper": _keepers,
         "cleanup_proposals": _proposals,
+        "cleanup_proposals_all": _whole_proposals,
+        "cleanup_chosen_groups": lambda s, d: cleanup.chosen_groups(cleanup.cleanup_groups(A.cleanup_inventory(s, d)), [2, 3, 5, 8], [3]),
         "cleanup_manifest": lambda s, d: cleanup.manifest(_proposals(s, d)),
         "cleanup_estimate": lambda s, d: cleanup.estimate(_proposals(s, d)),
         "incremental_reuse": lambda s, d: reuse.incremental(*A.generations(s, d)).select("path", "action", "reused_digest"),
@@ -174,6 +181,10 @@ def oracle_sql() -> dict[str, str]:
         "cleanup_clusters": A.CLEANUP + " SELECT * FROM cl",
         "cleanup_keeper": A.CLEANUP + " SELECT cleanup_group_number, path, id FROM k WHERE place = 1",
         "cleanup_proposals": A.CLEANUP + " SELECT * FROM pr",
+        "cleanup_proposals_all": A.CLEANUP + """, ka AS (SELECT n.cleanup_group_number, n.group_risk, f.*, row_number() OVER (PARTITION BY n.cleanup_group_number ORDER BY score, length(path), path, id) AS place
+  FROM f JOIN n USING (digest, size_bytes) WHERE n.group_risk = 'low')
+SELECT a.cleanup_group_number, a.group_risk, a.digest, a.size_bytes, b.path AS keeper_path, a.path AS candidate_path, a.id FROM ka a JOIN ka b ON a.cleanup_group_number = b.cleanup_group_number AND b.place = 1 WHERE a.place > 1""",
+        "cleanup_chosen_groups": A.CLEANUP + " SELECT * FROM n WHERE cleanup_group_number IN (2, 5, 8)",
         "cleanup_manifest": A.CLEANUP + " SELECT cleanup_group_number AS group_number, group_risk, 'yes' AS automatic_cleanup_eligible, 'same-folder-obvious-numbered-copy' AS eligibility_reason, digest, size_bytes, keeper_path, candidate_path FROM pr",
         "cleanup_estimate": A.CLEANUP + " SELECT count(*) AS candidates, coalesce(sum(size_bytes), 0)::BIGINT AS estimated_bytes, count(DISTINCT cleanup_group_number) AS groups FROM pr",
         "incremental_reuse": A.GENERATIONS + " SELECT cur.path, CASE WHEN ok.path IS NULL THEN 'hash' ELSE 'reused' END AS action, ok.digest AS reused_digest FROM cur LEFT JOIN ok ON cur.path = ok.path",

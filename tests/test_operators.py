@@ -126,3 +126,50 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame([("a", g, g), (f"p{g}", g, g)], schema).write.mode("append").parquet(f"{tmp_path}/in")
         upsert_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check", ["path"]).awaitTermination()
     assert {(r[0], r[1]) for r in spark.read.parquet(f"{tmp_path}/out/version=1").collect()} == {("a", 2), ("p1", 1), ("p2", 2)}
+
+
+def test_cleanup_runs(spark, tmp_path):
+    from siltstone.plans import actions
+
+    tree = tmp_path / "tree"
+    (tree / "k").mkdir(parents=True)
+    for name in ("a.txt", "a (1).txt", "a copy.txt", "b.txt", "b (1).txt"):
+        (tree / "k" / name).write_text(name[0] * 9)
+    spark.dataSource.register(inventory.InventorySource)
+    walked = spark.read.format("inventory").option("roots", str(tree)).load().filter("item_type = 'file'")
+    hashed = hashing.hashed_files(walked).withColumn("path", F.col("path_raw").cast("string")).withColumn("cleanup_risk", F.lit("low"))
+    files = spark.createDataFrame(hashed.withColumn("id", F.xxhash64("path_raw")).collect())  # as they were, whatever happens then
+
+    def names():
+        return sorted(p.name for p in (tree / "k").iterdir())
+
+    for wrong in ({"action": "delete"}, {"action": "delete", "token": actions.TOKEN, "full_verify": False}, {"action": "delete", "token": actions.TOKEN, "eligibility": "all"}, {"action": "quarantine"}, {"action": "quarantine", "quarantine": "/q", "risk": "critical"}):
+        with pytest.raises(ValueError):
+            actions.run_cleanup(spark, files, actions.CleanupPolicy(**wrong), f"{tmp_path}/store")
+    actions.run_cleanup(spark, files, actions.CleanupPolicy(), f"{tmp_path}/store")
+    assert len(names()) == 5
+
+    # a candidate that has changed since the scan stays; the keepers do too
+    (tree / "k" / "b (1).txt").write_text("other")
+    moved = actions.run_cleanup(spark, files, actions.CleanupPolicy(action="quarantine", quarantine=f"{tmp_path}/q", protect=[f"{tree}/k/a copy.txt"]), f"{tmp_path}/store")
+    assert names() == ["a copy.txt", "b (1).txt", "b.txt"]
+    assert sorted(p.name for p in (tmp_path / "q" / moved).rglob("*.txt")) == ["a (1).txt", "a.txt"]
+    run = spark.read.parquet(f"{tmp_path}/store/cleanup_runs").collect()[0]
+    assert (run["proposed_files"], run["quarantined_files"], run["skipped_files"], run["failed_files"], run["reclaimed_bytes"], run["state"]) == (3, 2, 1, 0, 18, "completed")
+
+    # the rest of a scan that no longer holds: keepers are gone, so nothing is deleted
+    actions.run_cleanup(spark, files, actions.CleanupPolicy(action="delete", token=actions.TOKEN), f"{tmp_path}/store")
+    assert names() == ["a copy.txt", "b (1).txt", "b.txt"]
+
+
+def test_deletion(spark, tmp_path):
+    from siltstone.plans import actions
+
+    for name in ("a.txt", "a (1).txt", "a copy.txt"):
+        (tmp_path / name).write_text("same")
+    paths = spark.createDataFrame([(os.fsencode(tmp_path / n),) for n in ("a.txt", "a (1).txt", "a copy.txt")], "path_raw binary")
+    files = hashing.hashed_files(paths).select("*", F.xxhash64("path_raw").alias("id"), F.col("path_raw").cast("string").alias("path"), F.lit("low").alias("cleanup_risk")).collect()
+    run_id = actions.run_cleanup(spark, spark.createDataFrame(files), actions.CleanupPolicy(action="delete", token=actions.TOKEN), f"{tmp_path}/store")
+    assert [p.name for p in tmp_path.glob("*.txt")] == ["a.txt"]
+    rows = spark.read.parquet(f"{tmp_path}/store/cleanup_actions/cleanup_run_id={run_id}").collect()
+    assert {r["action_result"] for r in rows} == {"deleted"} and len(rows) == 2
