@@ -10,7 +10,7 @@ false-positive rate of its filter: votes' = (votes - rate * n-grams) / (1 - rate
 
 It is fitted on a bounded sample of labelled rows: per language the SAMPLE whole texts of smallest hash, those of at most
 LEARNT_BYTES before longer ones; predictions read whole texts. Texts that are null or have no letter are `und` with score 0. A text without any hit gets
-the commonest language, score 1 / languages. Without labelled rows everything is `und`. At most 64 languages. Extra
+the language with the most training rows (of all, not of the sample; ties: the first by name), score 1 / languages. Without labelled rows everything is `und`. At most 64 languages. Extra
 columns are ignored. An empty table gives an empty result.
 """
 
@@ -125,15 +125,15 @@ class LanguageFilters:
         return best, score
 
 
-def learnt(rows: list[tuple[str, bytes]]) -> LanguageFilters | None:
-    """Filters from (language, text) rows."""
+def learnt(rows: list[tuple[str, bytes]], counts: dict[str, int]) -> LanguageFilters | None:
+    """Filters from (language, text) rows; `counts` are the languages' rows before sampling."""
     by: dict[str, list[bytes]] = {}
     for language, text in rows:
         by.setdefault(language, []).append(text)
     if not by:
         return None
     languages = sorted(by)
-    filters = LanguageFilters(languages, max(range(len(languages)), key=lambda k: (len(by[languages[k]]), -k)))
+    filters = LanguageFilters(languages, max(range(len(languages)), key=lambda k: (counts[languages[k]], -k)))
     counted = []
     for language in languages:
         grams, at = ngrams(by[language])
@@ -142,7 +142,7 @@ def learnt(rows: list[tuple[str, bytes]]) -> LanguageFilters | None:
             one_a_text = np.unique(mix(grams) + owner.astype(_U), return_index=True)[1]
         in_texts = dict(zip(*(x.tolist() for x in np.unique(grams[one_a_text], return_counts=True)), strict=True))
         counted.append((*np.unique(grams, return_counts=True), max(1, len(grams)), in_texts))
-    for k, (grams, counts, total, in_texts) in enumerate(counted):
+    for k, (grams, seen, total, in_texts) in enumerate(counted):
         other, others = np.zeros(len(grams)), 0
         for j, (theirs, their_counts, their_total, _) in enumerate(counted):
             if j != k:
@@ -152,14 +152,14 @@ def learnt(rows: list[tuple[str, bytes]]) -> LanguageFilters | None:
                 others += 1
         least = min(LEAST_TEXTS, len(by[languages[k]]))
         several = np.fromiter((in_texts[g] >= least for g in grams.tolist()), np.bool_, len(grams))
-        typical = several & (counts / total >= MORE * other if others else True)
+        typical = several & (seen / total >= MORE * other if others else True)
         filters.add(k, grams[typical])
     filters.settle()
     return filters
 
 
-def sample_of(docs: DataFrame, id_column: str, text_column: str, label_column: str, parts: int = PARTS, held_out: int = HELD_OUT) -> list[tuple[str, bytes]]:
-    """Labelled training rows: SAMPLE per language, by smallest hash; languages beyond the 64 commonest are left out."""
+def sample_of(docs: DataFrame, id_column: str, text_column: str, label_column: str, parts: int = PARTS, held_out: int = HELD_OUT) -> tuple[list[tuple[str, bytes]], dict[str, int]]:
+    """(labelled training rows, SAMPLE per language, by smallest hash; training rows of each language before sampling). Languages beyond the 64 commonest are left out."""
     train = docs.filter(F.col(label_column).isNotNull() & F.col(text_column).isNotNull() & (fold(id_column, parts) != held_out))
     long = F.octet_length(text_column) > LEARNT_BYTES
     counts = train.groupBy(label_column).agg(F.count("*").alias("n"), F.count_if(long).alias("long")).orderBy(F.desc("n"), label_column).limit(64).collect()
@@ -172,7 +172,7 @@ def sample_of(docs: DataFrame, id_column: str, text_column: str, label_column: s
                 found = part.filter(likely(F.col("h"), left, held)).orderBy("h", "i").limit(left).collect()
                 rows += [(language, r["text"].encode()) for r in found]
                 left = left - held
-    return rows
+    return rows, {language: n for language, n, _ in counts}
 
 
 _OUT = "id long, lang_pred string, score double"
@@ -198,7 +198,7 @@ def _predict(shared):
 
 def predicted(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", parts: int = PARTS, held_out: int = HELD_OUT) -> DataFrame:
     """One row per input row: id_column, held_out, lang_pred, score."""
-    filters = docs.sparkSession.sparkContext.broadcast(learnt(sample_of(docs, id_column, text_column, label_column, parts, held_out)))
+    filters = docs.sparkSession.sparkContext.broadcast(learnt(*sample_of(docs, id_column, text_column, label_column, parts, held_out)))
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     out = texts.mapInArrow(_predict(filters), _OUT).withColumnRenamed("id", id_column)
     return out.select(id_column, (fold(id_column, parts) == held_out).alias("held_out"), "lang_pred", "score")

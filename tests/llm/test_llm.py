@@ -189,6 +189,15 @@ def test_language(spark):
     assert language_id.predicted(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_language_fallback_is_the_commonest(spark, monkeypatch):
+    """Both languages fill their sample; a text without any hit gets the one with more rows, not the first by name."""
+    monkeypatch.setattr(language_id, "SAMPLE", 5)
+    texts = [(i, "the and of this that" if i % 3 else "der die das und nicht") for i in range(60)]
+    frame = docs(spark, [*texts, (100, "qqqqq xxxxx")], [*("en" if i % 3 else "de" for i in range(60)), None])
+    got = language_id.predicted(frame).filter("doc_id = 100").first()
+    assert got["lang_pred"] == "en" and got["score"] == 0.5
+
+
 def test_filters_have_no_false_negatives():
     texts = [b"alpha beta gamma delta", b"epsilon zeta eta theta"]
     filters = language_id.LanguageFilters(["x", "y"])
