@@ -10,8 +10,9 @@ false-positive rate of its filter: votes' = (votes - rate * n-grams) / (1 - rate
 
 It is fitted on a bounded sample of labelled rows: per language the SAMPLE whole texts of smallest hash, those of at most
 LEARNT_BYTES before longer ones; predictions read whole texts. Texts that are null or have no letter are `und` with score 0. A text without any hit gets
-the language with the most training rows (of all, not of the sample; ties: the first by name), score 1 / languages. Without labelled rows everything is `und`. At most 64 languages. Extra
-columns are ignored. An empty table gives an empty result.
+the language with the most training rows (of all, not of the sample; ties: the first by name), score 1 / languages.
+Without labelled rows everything is `und`. Any number of languages: slices of more than 64 take several words a cell, and
+learning reads the table once or twice for each language. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -75,28 +76,32 @@ class LanguageFilters:
     """Bit-sliced Bloom filters of several languages."""
 
     def __init__(self, languages: list[str], common: int = 0):
-        if len(languages) > 64:
-            raise ValueError("at most 64 languages")
         self.languages, self.common = languages, common
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(k).bits >= max(1, len(languages)))
-        self.slices = np.zeros(CELLS, kind)
+        kind = next((k for k in (np.uint8, np.uint16, np.uint32) if np.iinfo(k).bits >= len(languages)), np.uint64)
+        self.bits = np.iinfo(kind).bits
+        self.slices = np.zeros((max(1, -(-len(languages) // self.bits)), CELLS), kind)
         self.rates = np.zeros(len(languages))
 
     def add(self, language: int, grams: np.ndarray) -> None:
+        word, bit = divmod(language, self.bits)
         for probe in range(PROBES):
-            cells = _cells(grams, probe)
-            self.slices[cells] |= self.slices.dtype.type(1 << language)
+            self.slices[word, _cells(grams, probe)] |= self.slices.dtype.type(1 << bit)
 
     def settle(self) -> None:
         """The false-positive rate of each filter follows from the bits that are set."""
         for k in range(len(self.languages)):
-            self.rates[k] = (np.count_nonzero(self.slices & self.slices.dtype.type(1 << k)) / CELLS) ** PROBES
+            self.rates[k] = (np.count_nonzero(self.has(self.slices, k)) / CELLS) ** PROBES
+
+    def has(self, found: np.ndarray, language: int) -> np.ndarray:
+        """The language's bit of each column of slice words, 0 or 1."""
+        word, bit = divmod(language, self.bits)
+        return (found[word] >> found.dtype.type(bit)) & found.dtype.type(1)
 
     def containing(self, grams: np.ndarray) -> np.ndarray:
-        """For each n-gram, a bit for every language whose filter has it."""
-        found = self.slices[_cells(grams, 0)]
+        """found[word, n-gram]: a bit for every language whose filter has the n-gram, in as many words as the languages need."""
+        found = self.slices[:, _cells(grams, 0)]
         for probe in range(1, PROBES):
-            found &= self.slices[_cells(grams, probe)]
+            found &= self.slices[:, _cells(grams, probe)]
         return found
 
     def votes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +116,7 @@ class LanguageFilters:
             found = self.containing(grams)
             np.add.at(total, owner[at:past], np.diff(ends))
             for k in range(len(self.languages)):
-                counts = np.concatenate(([0], np.cumsum((found >> found.dtype.type(k)) & found.dtype.type(1), dtype=np.int64)))
+                counts = np.concatenate(([0], np.cumsum(self.has(found, k), dtype=np.int64)))
                 np.add.at(hits[:, k], owner[at:past], np.diff(counts[ends]))
             at = past
         return np.maximum(0.0, (hits - self.rates * total[:, None]) / (1 - self.rates)), total
@@ -125,6 +130,21 @@ class LanguageFilters:
         return best, score
 
 
+def _largest_elsewhere(grams: list[np.ndarray], shares: list[np.ndarray]) -> list[np.ndarray]:
+    """For each language's n-grams (distinct in a language), the largest share that another language has of the same one, else 0."""
+    every, share = np.concatenate(grams), np.concatenate(shares)
+    if not len(every):
+        return [np.empty(0) for _ in grams]
+    order = np.lexsort((-share, every))
+    same = every[order][1:] == every[order][:-1]
+    first = np.concatenate(([True], ~same))  # of an n-gram, the language with the largest share
+    top = share[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+    second = np.where(np.concatenate((same, [False])), np.concatenate((share[order][1:], [0.0])), 0.0)
+    out = np.empty(len(every))
+    out[order] = np.where(first, second, top)
+    return np.split(out, np.cumsum([len(g) for g in grams])[:-1])
+
+
 def learnt(rows: list[tuple[str, bytes]], counts: dict[str, int]) -> LanguageFilters | None:
     """Filters from (language, text) rows; `counts` are the languages' rows before sampling."""
     by: dict[str, list[bytes]] = {}
@@ -142,27 +162,21 @@ def learnt(rows: list[tuple[str, bytes]], counts: dict[str, int]) -> LanguageFil
             one_a_text = np.unique(mix(grams) + owner.astype(_U), return_index=True)[1]
         in_texts = dict(zip(*(x.tolist() for x in np.unique(grams[one_a_text], return_counts=True)), strict=True))
         counted.append((*np.unique(grams, return_counts=True), max(1, len(grams)), in_texts))
-    for k, (grams, seen, total, in_texts) in enumerate(counted):
-        other, others = np.zeros(len(grams)), 0
-        for j, (theirs, their_counts, their_total, _) in enumerate(counted):
-            if j != k:
-                at = np.minimum(np.searchsorted(theirs, grams), max(0, len(theirs) - 1))
-                if len(theirs):
-                    other = np.maximum(other, np.where(theirs[at] == grams, their_counts[at], 0) / their_total)
-                others += 1
+    others = _largest_elsewhere([grams for grams, *_ in counted], [seen / total for _, seen, total, _ in counted])
+    for k, ((grams, seen, total, in_texts), other) in enumerate(zip(counted, others, strict=True)):
         least = min(LEAST_TEXTS, len(by[languages[k]]))
         several = np.fromiter((in_texts[g] >= least for g in grams.tolist()), np.bool_, len(grams))
-        typical = several & (seen / total >= MORE * other if others else True)
+        typical = several & (seen / total >= MORE * other if len(languages) > 1 else True)
         filters.add(k, grams[typical])
     filters.settle()
     return filters
 
 
 def sample_of(docs: DataFrame, id_column: str, text_column: str, label_column: str, parts: int = PARTS, held_out: int = HELD_OUT) -> tuple[list[tuple[str, bytes]], dict[str, int]]:
-    """(labelled training rows, SAMPLE per language, by smallest hash; training rows of each language before sampling). Languages beyond the 64 commonest are left out."""
+    """(labelled training rows, SAMPLE per language, by smallest hash; training rows of each language before sampling)."""
     train = docs.filter(F.col(label_column).isNotNull() & F.col(text_column).isNotNull() & (fold(id_column, parts) != held_out))
     long = F.octet_length(text_column) > LEARNT_BYTES
-    counts = train.groupBy(label_column).agg(F.count("*").alias("n"), F.count_if(long).alias("long")).orderBy(F.desc("n"), label_column).limit(64).collect()
+    counts = train.groupBy(label_column).agg(F.count("*").alias("n"), F.count_if(long).alias("long")).orderBy(F.desc("n"), label_column).collect()
     rows = []
     for language, n, n_long in counts:
         left = SAMPLE

@@ -198,6 +198,29 @@ def test_language_fallback_is_the_commonest(spark, monkeypatch):
     assert got["lang_pred"] == "en" and got["score"] == 0.5
 
 
+def test_more_than_64_languages(spark):
+    """Every language is learnt, the rarest ones too; the rarest has the last bit of the second word."""
+    rng = np.random.default_rng(2)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(12)] for _ in range(70)]
+    texts, langs = [], []
+    for k in range(70):
+        for _ in range(12 if k < 64 else 8):
+            texts.append((len(texts), " ".join(rng.permutation(words[k]))))
+            langs.append(f"l{k:02}")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predicted(docs(spark, texts, langs)).collect()}
+    assert got == dict(enumerate(langs))
+    assert language_id.learnt([("x", b"12"), ("y", b"")], {"x": 1, "y": 1}).decide([b"abc"])[0].tolist() == [0]
+
+
+def test_largest_elsewhere():
+    rng = np.random.default_rng(4)
+    grams = [np.unique(rng.integers(0, 30, 20)).astype(np.uint64) for _ in range(5)]
+    shares = [rng.integers(1, 4, len(g)) / 8 for g in grams]
+    held = [dict(zip(g.tolist(), s.tolist())) for g, s in zip(grams, shares)]
+    for k, found in enumerate(language_id._largest_elsewhere(grams, shares)):
+        assert found.tolist() == [max((h.get(g, 0.0) for j, h in enumerate(held) if j != k)) for g in grams[k].tolist()]
+
+
 def test_filters_have_no_false_negatives():
     texts = [b"alpha beta gamma delta", b"epsilon zeta eta theta"]
     filters = language_id.LanguageFilters(["x", "y"])
