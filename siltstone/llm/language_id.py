@@ -44,7 +44,8 @@ _BORDER = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 
 def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes of all n-grams inside words, borders counted as a byte; start of each text's n-grams, one more at the end)."""
-    joined = b" " + b" ".join(texts).lower() + b" "
+    # further spaces, so that the shortest n-grams are not cut to the places where a longest one fits
+    joined = b" " + b" ".join(texts).lower() + b" " * (1 + max(LENGTHS) - min(LENGTHS))
     data = np.frombuffer(joined, np.uint8)
     border = _BORDER[data]
     clean = np.where(border, 32, data).astype(_U)

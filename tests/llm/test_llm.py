@@ -198,6 +198,16 @@ def test_language_fallback_is_the_commonest(spark, monkeypatch):
     assert got["lang_pred"] == "en" and got["score"] == 0.5
 
 
+def test_ngrams_do_not_depend_on_the_place():
+    """The last text of a call has the same n-grams as one before others."""
+    for text in (b"der", b"ab", b"a", b"", b"two words", b"x 1 y"):
+        alone, at = language_id.ngrams([text])
+        first, places = language_id.ngrams([text, b"der", b"langer"])
+        last, ends = language_id.ngrams([b"langer", text])
+        assert alone.tolist() == first[: places[1]].tolist() == last[ends[1] :].tolist() and at.tolist() == [0, len(alone)]
+    assert len(language_id.ngrams([b"der"])[0]) == 6 and len(language_id.ngrams([b"ab"])[0]) == 3
+
+
 def test_more_than_64_languages(spark):
     """Every language is learnt, the rarest ones too; the rarest has the last bit of the second word."""
     rng = np.random.default_rng(2)
