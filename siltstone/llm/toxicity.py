@@ -1,15 +1,16 @@
 """Toxicity by votes of the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Features are the letter words of a text (A-Z lower-cased) and their prefixes of 4, 5 and 6 bytes. The FEATURES that tell
-the labels apart best (by the likelihood-ratio statistic of their document counts) span the TF-IDF space. The index
-holds, for each feature, the examples that have it with their unit-length weights, in blocks of BLOCK examples, and for
-each block the largest weight. A query's upper bound for a block is the sum of its weights times those largest weights;
+Features are the letter words of a text (A-Z lower-cased) and their prefixes of 4, 5 and 6 bytes. All features of the
+examples span the TF-IDF space, the rarest too; an IDF is multiplied by 1 + the likelihood-ratio statistic of the feature's
+document counts in the two labels, so that those which tell the labels apart lead. The index holds, for each feature,
+the examples that have it with their unit-length weights, in blocks of BLOCK examples, and for each block the largest
+weight. A query's upper bound for a block is the sum of its weights times those largest weights;
 blocks are opened from the highest bound down, until the bound is below the k-th best cosine found. So the NEAREST
 neighbours are exact. They vote with weight cosine^2, each label scaled to its share of all training rows; a monotone step
 function fitted on the examples' own leave-one-out votes turns the vote into a probability.
 
 The index is fitted on a bounded sample: EXAMPLES rows of each label at most, near copies once. Whole texts are scored. Null counts as
-empty; a text without features, like the examples without any, scores their share of label 1. If only one label or none was
+empty; a text without a feature of any example, like the examples without any, scores their share of label 1. If only one label or none was
 learnt, every text scores the share of label 1 (0 without training rows). `evidence` holds the identifiers of up to
 three nearest examples. Repeated rows score alike. Extra columns are ignored. An empty table gives an empty result.
 """
@@ -26,10 +27,7 @@ from pyspark.sql import functions as F
 from .common import Lookup, Spans, as_bytes, fold, labelled_sample, monotone, slices, table, without_copies
 
 EXAMPLES, SHORT = 2048, 128_000
-FEATURES, LEAST_TEXTS = 2048, 4
 PREFIXES = (4, 5, 6)
-#: Least statistic of a feature: by chance one of two million has it.
-SIGNIFICANT = 25.0
 BLOCK, NEAREST = 64, 15
 THRESHOLD = 0.3
 PARTS, HELD_OUT = 4, 2
@@ -50,47 +48,54 @@ def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(texts_), np.concatenate(hashes)
 
 
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the numbers of all ranges in turn, the range that each is of)"""
+    sizes = ends - starts
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(owner)) + (starts - np.cumsum(sizes) + sizes)[owner], owner
+
+
 class BlockMaxIndex:
-    """Examples with unit sparse vectors; exact best cosines of a query."""
+    """Examples with unit sparse vectors; exact best cosines of a query.
+
+    Postings are sorted by feature and block; a run of one feature and block is a cell, which has the largest weight of it."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
         order = sorted(range(len(rows)), key=lambda i: (int(rows[i][0][rows[i][1].argmax()]) if len(rows[i][0]) else -1, i))  # examples of one leading feature share a block
-        self.example, self.width = np.array(order, np.int64), width
+        self.example = np.array(order, np.int64)
         self.blocks = max(1, -(-len(rows) // BLOCK))
-        self.owner = np.concatenate([np.full(len(rows[i][0]), n) for n, i in enumerate(order)] or [np.empty(0)]).astype(np.int64)
-        self.feature = np.concatenate([rows[i][0] for i in order] or [np.empty(0)]).astype(np.int64)
-        self.weight = np.concatenate([rows[i][1] for i in order] or [np.empty(0)]).astype(np.float64)
-        self.most = np.zeros((width, self.blocks))
-        np.maximum.at(self.most, (self.feature, self.owner // BLOCK), self.weight)
-        self._opened: dict[int, np.ndarray] = {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_opened": {}}
-
-    def _block(self, block: int) -> np.ndarray:
-        """Weights[feature, example] of a block, laid out at its first use."""
-        if block not in self._opened:
-            lo, hi = np.searchsorted(self.owner, (block * BLOCK, (block + 1) * BLOCK))
-            weights = np.zeros((self.width, BLOCK), np.float64)
-            weights[self.feature[lo:hi], self.owner[lo:hi] - block * BLOCK] = self.weight[lo:hi]
-            self._opened[block] = weights
-        return self._opened[block]
+        feature = np.concatenate([rows[i][0] for i in order] or [np.empty(0)]).astype(np.int32)
+        owner = np.repeat(np.arange(len(order), dtype=np.int32), [len(rows[i][0]) for i in order])
+        place = np.argsort(feature, kind="stable")  # owners stay in order, so do their blocks
+        feature, self.owner = feature[place], owner[place]
+        self.weight = np.concatenate([rows[i][1] for i in order] or [np.empty(0)]).astype(np.float64)[place]
+        block = self.owner // BLOCK
+        self.cell_at = np.flatnonzero(np.concatenate((np.ones(min(1, len(feature)), np.bool_), (feature[1:] != feature[:-1]) | (block[1:] != block[:-1]))))
+        self.cell_block = block[self.cell_at]
+        self.cell_most = np.maximum.reduceat(self.weight, self.cell_at) if len(feature) else self.weight
+        self.feature_at = np.searchsorted(feature[self.cell_at], np.arange(width + 1)).astype(np.int64)
+        self.cell_at = np.append(self.cell_at, len(feature))
 
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k best by cosine, then by place in the index; only those above 0."""
-        bounds = weight @ self.most[at]
+        cells, asked = _ranges(self.feature_at[at], self.feature_at[at + 1])
+        cell_block = self.cell_block[cells]
+        bounds = np.bincount(cell_block, weight[asked] * self.cell_most[cells], self.blocks)
         order = np.argsort(-bounds, kind="stable")
-        found_at, found, kth, step = np.empty(0, np.int64), np.empty(0), 0.0, 0
+        found_at, found, kth, step, wide = np.empty(0, np.int64), np.empty(0), 0.0, 0, 4
         while step < len(order) and bounds[order[step]] > 0 and bounds[order[step]] >= kth - 1e-12:
-            group = order[step : step + 4]
+            group = order[step : step + wide]
             group = group[(bounds[group] > 0) & (bounds[group] >= kth - 1e-12)]
-            step += 4
-            sums = np.concatenate([weight @ self._block(int(b))[at] for b in group])
-            places = (group[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            step, wide = step + wide, 2 * wide
+            opened = np.zeros(self.blocks, np.bool_)
+            opened[group] = True
+            mine = np.flatnonzero(opened[cell_block])
+            postings, cell = _ranges(self.cell_at[cells[mine]], self.cell_at[cells[mine] + 1])
+            sums = np.bincount(self.owner[postings], weight[asked[mine]][cell] * self.weight[postings], len(self.example))
             rows = np.flatnonzero(sums > max(kth - 1e-12, 1e-12))
             if without >= 0:
-                rows = rows[self.example[places[rows]] != without]
-            found_at, found = np.concatenate((found_at, places[rows])), np.concatenate((found, sums[rows]))
+                rows = rows[self.example[rows] != without]
+            found_at, found = np.concatenate((found_at, rows)), np.concatenate((found, sums[rows]))
             if len(found) > k:
                 best = np.lexsort((found_at, -found))[:k]
                 found_at, found = found_at[best], found[best]
@@ -108,28 +113,21 @@ class NearestExamples:
         self.ready = len(totals) == 2
         if not self.ready:
             return
-        # near copies in the sample would make features of whatever words they share, and vouch for each other
+        # near copies in the sample would raise the statistic of whatever words they share, and vouch for each other
         by = [[r for r in rows if r[2] == y] for y in (0, 1)]
         rows = [own[i] for own in by for i in without_copies([t for _, t, _ in own])]
         self.labels = np.array([y for *_, y in rows])
         self.ids = np.array([i for i, *_ in rows], np.int64)
         held = [(self.labels == y).sum() for y in (0, 1)]
         self.scale = np.array([totals[y] / held[y] for y in (0, 1)])[self.labels]
-        owner, hashes = zip(*(features([t]) for _, t, _ in rows), strict=True)
-        owner = np.concatenate([np.full(len(o), i) for i, o in enumerate(owner)])
-        hashes = np.concatenate(hashes)
-        known, inverse = np.unique(hashes, return_inverse=True)
-        pairs = np.unique(inverse.astype(np.int64) * len(rows) + owner)
-        feature, text = pairs // len(rows), pairs % len(rows)
+        hashes = [np.unique(features([t])[1]) for _, t, _ in rows]
+        text = np.repeat(np.arange(len(rows)), [len(h) for h in hashes])
+        known, feature = np.unique(np.concatenate(hashes), return_inverse=True)
         positive = np.bincount(feature, weights=self.labels[text], minlength=len(known))
         every = np.bincount(feature, minlength=len(known))
-        statistic = self._statistic(positive, every - positive, *held[::-1])
-        statistic[every < min(LEAST_TEXTS, len(rows))] = 0
-        chosen = np.lexsort((known, -statistic))[:FEATURES]
-        chosen = chosen[statistic[chosen] > SIGNIFICANT]
-        self.lookup, self.width = Lookup(known[chosen]), len(chosen)
-        have = (positive[chosen] / held[1] + (every - positive)[chosen] / held[0]) / 2
-        self.idf = 1 + np.log(1 / np.maximum(have, 1e-4))
+        self.lookup, self.width = Lookup(known), len(known)
+        have = (positive / held[1] + (every - positive) / held[0]) / 2
+        self.idf = (1 + np.log(1 / np.maximum(have, 1e-4))) * (1 + self._statistic(positive, every - positive, *held[::-1]))
         vectors = self.vectors([t for _, t, _ in rows])
         self.index = BlockMaxIndex(vectors, max(1, self.width))
         none = np.array([not len(v[0]) for v in vectors])
@@ -137,6 +135,9 @@ class NearestExamples:
         raw = np.array([self._vote(*v, without=i)[0] if len(v[0]) else -1.0 for i, v in enumerate(vectors)])
         ok = raw >= 0
         self.steps = monotone(raw[ok], self.labels[ok].astype(float), self.scale[ok]) if ok.any() else (np.array([0.0]), np.array([self.share]))
+        left, value = self.steps  # a step lies halfway between the votes beside it, not at the higher one
+        below = np.sort(raw[ok])[np.searchsorted(np.sort(raw[ok]), left[1:]) - 1]
+        self.steps = np.concatenate((left[:1], (left[1:] + below) / 2)), value
 
     @staticmethod
     def _statistic(a: np.ndarray, b: np.ndarray, positives: int, negatives: int) -> np.ndarray:

@@ -267,6 +267,21 @@ def test_block_max_is_exact():
             assert np.allclose(cosine, np.sort(dense @ query)[::-1][: len(cosine)])
 
 
+def test_rare_toxic_terms_are_searched():
+    """A word of few toxic examples and of no clean one finds them, though its likelihood-ratio statistic is low."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(4000)]
+    clean = [" ".join(rng.choice(words[:2000], 40)).encode() for _ in range(262)]
+    toxic = [" ".join([*rng.choice(words[:2000], 20), *[f"zz{'qvwxy'[i % 5]}{'rstuklmn'[i // 5]}k"] * 4]).encode() for i in range(38)]
+    rows = [(i, t, int(i >= 262)) for i, t in enumerate(clean + toxic)]
+    model = toxicity.NearestExamples(rows, {0: 262, 1: 38})
+    for i in range(262, 300):
+        word = rows[i][1].split()[-1]
+        _, evidence = model.scores([word + b" unseen"])
+        assert evidence[0][0] == i
+    assert model.width == len(np.unique(toxicity.features([t for _, t, _ in rows])[1]))
+
+
 def test_sentencepiece(spark):
     import sentencepiece
 
