@@ -25,8 +25,9 @@ def inventory(spark: SparkSession, sf_dir: str, blank_every: int = 0, empty_stat
     root = F.expr("cast(substr(source, 4) AS bigint)")
     # the linked name of a text within a source is its smallest document: an aggregation and a join, as a window would
     # hold all copies of one text in a task
-    first = hashed.groupBy("source", "digest").agg(F.min("doc_id").alias("inode"))
-    return hashed.join(first, ["source", "digest"]).select(
+    first = hashed.groupBy(F.col("source").alias("of_source"), F.col("digest").alias("of_digest")).agg(F.min("doc_id").alias("inode"))
+    same = F.col("source").eqNullSafe(F.col("of_source")) & F.col("digest").eqNullSafe(F.col("of_digest"))  # rows without text or source stay
+    return hashed.join(first, same).select(
         F.col("doc_id").alias("id"), root.alias("root_id"), root.alias("device"), "inode",
         F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
         "size_bytes", allocated.cast("long").alias("allocated_bytes"),

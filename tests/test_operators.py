@@ -173,3 +173,16 @@ def test_deletion(spark, tmp_path):
     assert [p.name for p in tmp_path.glob("*.txt")] == ["a.txt"]
     rows = spark.read.parquet(f"{tmp_path}/store/cleanup_actions/cleanup_run_id={run_id}").collect()
     assert {r["action_result"] for r in rows} == {"deleted"} and len(rows) == 2
+
+
+def test_inventory_keeps_nulls(spark, tmp_path):
+    import duckdb
+
+    from siltstone.plans import adapters
+
+    rows = [(1, "a", "en", "src1"), (2, None, "en", "src1"), (3, None, "de", "src1"), (4, "a", "en", None), (5, "a", "en", None), (6, None, "en", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["id"], r["inode"], r["digest"]) for r in adapters.inventory(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(con.sql(f"{adapters.PLAIN} SELECT id, inode, digest FROM inv").fetchall()) and len(got) == 6
