@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import functools
+import operator
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: the characters that separate words.
@@ -22,8 +25,10 @@ _U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. A local one is made only if the session names none."""
+    """The folder that the driver and all executors share. A local one is made only if the session names none and runs in one process."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named or _local_dir()
 
 
@@ -183,35 +188,39 @@ class Lookup:
         return rows[right], self.order[at[right]]
 
 
-def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label_column: str, most: int, short: int, id_column: str = "doc_id", text_column: str = "text", parts: int = 4, held_out: int = 2
-) -> tuple[list[tuple[int, bytes, int]], dict[int, int]]:
-    """([(id, whole text, label)], rows of each label): at most `most` training rows of each label 0 and 1, by hash, texts of up to `short` bytes before longer ones. The held-out fold is left out. Identifiers are chosen without their texts."""
-    known = labels.select(F.col(id_column), F.col(label_column).cast("int").alias("label")).filter(F.col("label").isin(0, 1)).distinct()
-    train = docs.filter(F.col(text_column).isNotNull() & (fold(id_column, parts) != held_out)).select(id_column, (F.octet_length(F.col(text_column).cast("string")) > short).alias("long"))
-    joined = train.join(known, id_column).select(F.col(id_column).alias("id"), "label", "long", F.xxhash64(id_column).alias("h"))  # without texts
-    counts = {(r["label"], r["long"]): r["n"] for r in joined.groupBy("label", "long").agg(F.count("*").alias("n")).collect()}
-    totals: dict[int, int] = {}
-    labelled: dict = {}
-    for (label, _), n in counts.items():
-        totals[label] = totals.get(label, 0) + n
-    for label in sorted(totals):
-        left = most
-        for long in (False, True):
-            if left and (label, long) in counts:
-                part = joined.filter((F.col("label") == label) & (F.col("long") == long) & likely(F.col("h"), left, counts[label, long]))
-                found = [r["id"] for r in part.orderBy("h", "id").limit(left).collect()]
-                labelled |= dict.fromkeys(found, label)
-                left -= min(left, counts[label, long])
-    chosen = docs.filter(F.col(id_column).isin(list(labelled)) & F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    rows = [(int(r["id"]), r["text"].encode(), labelled[r["id"]]) for r in chosen.dropDuplicates(["id"]).collect()] if labelled else []
-    return sorted(rows, key=lambda r: (r[2], r[0])), totals
-
-
-def likely(hashed: Column, wanted: int, among: int) -> Column:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_column: str, most: int, id_column: str = "doc_id", text_column: str = "text", parts: int = 4, held_out: int = 2) -> DataFrame:
+    """label, total (training rows of that label), id, text: at most `most` training rows of each label 0 and 1, by hash of the identifier alone.
+
+    The held-out fold is left out; so are null texts and identifiers. Identifiers are chosen before any text is read. A repeated row of
+    documents counts in the totals and once in the sample; an identifier labelled both ways counts for each label."""
+    known = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label")).filter(F.col("label").isin(0, 1)).distinct()
+    train = docs.filter(F.col(text_column).isNotNull() & (fold(id_column, parts) != held_out)).select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    joined = train.select("id").join(known, "id").withColumn("h", F.xxhash64("id"))
+    totals = {r["label"]: r["n"] for r in joined.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if not totals:
+        return train.limit(0).select(F.lit(0).alias("label"), F.lit(0).cast("long").alias("total"), F.col("id").cast("long"), "text")
+    wanted = functools.reduce(operator.or_, [(F.col("label") == y) & likely(F.col("h"), most, n) for y, n in totals.items()])
+    first = Window.partitionBy("label").orderBy("h", "id")
+    chosen = joined.filter(wanted).select("label", "h", "id").distinct().withColumn("place", F.row_number().over(first)).filter(F.col("place") <= most)
+    total = F.coalesce(*[F.when(F.col("label") == y, F.lit(n)) for y, n in totals.items()]).cast("long")
+    texts = train.join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))  # at most 2 * most identifiers
+    return texts.join(chosen, "id").select("label", total.alias("total"), F.col("id").cast("long"), "text")
+
+
+def model_of(sample: DataFrame, order: list[str], fit: Callable[[Iterator[pa.RecordBatch]], object], empty: Callable[[], object]) -> Broadcast:
+    """What fit makes of the sorted sample in one executor task, pickled, as a broadcast: the driver passes its bytes on and holds neither texts nor the model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(batches), 5)], pa.binary())], names=["model"])
+
+    made = sample.repartition(1).sortWithinPartitions(*order).mapInArrow(run, "model binary").collect()
+    return sample.sparkSession.sparkContext.broadcast(bytes(made[0]["model"]) if made else pickle.dumps(empty(), 5))
+
+
+def likely(hashed: Column, wanted: int, among: int | Column) -> Column:
     """Whether a row's hash is low enough to be among the `wanted` lowest: so that an ordered limit gathers about that many rows, however many partitions each could offer as many."""
-    share = min(1.0, (1.25 * wanted + 200) / max(1, among))
-    return F.pmod(hashed, F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)
+    share = F.least(F.lit(1.0), F.lit(1.25 * wanted + 200) / F.greatest(F.lit(1), F.lit(among) if isinstance(among, int) else among))
+    return F.pmod(hashed, F.lit(1 << 30)) < (share * (1 << 30)).cast("long") + 1
 
 
 def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,18 +241,19 @@ def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return np.array([p[2] for p in pools]), np.array([p[0] / p[1] for p in pools])
 
 
-def without_copies(texts: list[bytes]) -> list[int]:
-    """Positions of texts of which none is a near copy of an earlier one: those that share the least of their three-word windows under one of four orders count as copies. For samples of bounded size."""
-    seen: set[tuple[int, int]] = set()
-    kept = []
-    for i, text in enumerate(texts):
+class Copies:
+    """Recognises near copies among texts of a bounded sample: those whose three-word windows have the same minimum under all of four orders."""
+
+    def __init__(self):
+        self.seen: set[tuple[int, ...]] = set()
+
+    def new(self, text: bytes) -> bool:
         words, at = hashed_words([text])
         found, _ = windows(words, at, 3)
-        least = [(k, int(mix(found ^ _U(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).min())) for k in range(1, 5)] if len(found) else [(0, 0)]
-        if not seen.intersection(least):
-            kept.append(i)
-        seen.update(least)
-    return kept
+        least = tuple(int(mix(found ^ _U(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).min()) for k in range(1, 5)) if len(found) else ()
+        known = least in self.seen
+        self.seen.add(least)
+        return not known
 
 
 _STEPS = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]

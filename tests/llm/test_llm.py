@@ -1,5 +1,6 @@
 import collections
 import itertools
+import pickle
 import zlib
 
 import numpy as np
@@ -219,7 +220,7 @@ def test_more_than_64_languages(spark):
             langs.append(f"l{k:02}")
     got = {r["doc_id"]: r["lang_pred"] for r in language_id.predicted(docs(spark, texts, langs)).collect()}
     assert got == dict(enumerate(langs))
-    assert language_id.learnt([("x", b"12"), ("y", b"")], {"x": 1, "y": 1}).decide([b"abc"])[0].tolist() == [0]
+    assert language_id.learnt([("x", b"12", 1), ("y", b"", 1)]).decide([b"abc"])[0].tolist() == [0]
 
 
 def test_largest_elsewhere():
@@ -256,15 +257,22 @@ def test_classifiers(module, column, spark):
     assert module.scored(docs(spark, edge), labels.limit(0)).count() == 3
 
 
-def test_block_max_is_exact():
+def test_block_max_is_exact(monkeypatch):
     rng = np.random.default_rng(0)
-    dense = rng.random((500, 40)) * (rng.random((500, 40)) < 0.15)
-    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
-    index = toxicity.BlockMaxIndex([(np.flatnonzero(r), r[r > 0]) for r in dense], 40)
-    for query in dense[:50]:
-        if query.any():
-            _, cosine = index.nearest(np.flatnonzero(query), query[query > 0], 15)
-            assert np.allclose(cosine, np.sort(dense @ query)[::-1][: len(cosine)])
+    for dense_lists, width in ((0, 40), (8, 40), (8, 400), (1024, 40)):
+        monkeypatch.setattr(toxicity, "DENSE", dense_lists)
+        monkeypatch.setattr(toxicity, "BLOCK", 16)
+        dense = rng.random((500, width)) * (rng.random((500, width)) < 6 / width)
+        dense = np.rint(dense / np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12) * 2**20) / 2**20
+        dense[400:] = dense[:100]  # repeated rows and so ties
+        index = pickle.loads(pickle.dumps(toxicity.BlockMaxIndex([(np.flatnonzero(r), r[r > 0]) for r in dense], width)))
+        queries = [(np.flatnonzero(q), q[q > 0]) for q in dense[:50]]
+        for i, (near, cosine) in enumerate(index.nearest(queries, 15)):
+            every = dense @ dense[i]
+            want = [j for j in np.lexsort((np.arange(500), -every))[:15] if every[j] > 0]
+            assert near.tolist() == want and cosine.tolist() == every[want].tolist()
+        for i, (near, _) in enumerate(index.nearest(queries, 15, list(range(50)))):
+            assert i not in near
 
 
 def test_rare_toxic_terms_are_searched():
@@ -274,12 +282,12 @@ def test_rare_toxic_terms_are_searched():
     clean = [" ".join(rng.choice(words[:2000], 40)).encode() for _ in range(262)]
     toxic = [" ".join([*rng.choice(words[:2000], 20), *[f"zz{'qvwxy'[i % 5]}{'rstuklmn'[i // 5]}k"] * 4]).encode() for i in range(38)]
     rows = [(i, t, int(i >= 262)) for i, t in enumerate(clean + toxic)]
-    model = toxicity.NearestExamples(rows, {0: 262, 1: 38})
+    model = toxicity.NearestExamples((i, y, t, 38 if y else 262) for i, t, y in rows)
     for i in range(262, 300):
         word = rows[i][1].split()[-1]
         _, evidence = model.scores([word + b" unseen"])
         assert evidence[0][0] == i
-    assert model.width == len(np.unique(toxicity.features([t for _, t, _ in rows])[1]))
+    assert len(model.known) == len(np.unique(toxicity.features([t for _, t, _ in rows])[1]))
 
 
 def test_sentencepiece(spark):
