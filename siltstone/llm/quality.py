@@ -1,21 +1,24 @@
 """Quality classifier by nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text's terms are its bytes, its commonest-vocabulary words, and events: a word that repeats the one before, a word
-in capitals, a punctuation byte that repeats the one before. Term weights are log(1 + rate per thousand) times, in place of the inverse document
+A text's terms are its bytes, its words, and events: a word that repeats the one before, a word
+in capitals, a punctuation byte that repeats the one before. Words, all of them, fall by hash into WORDS columns. Term weights are log(1 + rate per thousand) times, in place of the inverse document
 frequency, the bits that the best threshold on it tells of the label, in standard deviations (a supervised TF-IDF). The leading eigenvectors of the labelled
 sample's term-term matrix give the latent space. The labelled sample's vectors, at most 2 * EXAMPLES of DIMENSIONS
 floats, are broadcast: their size does not depend on the input. Every text's vector is multiplied with all of them, a
 block of texts at a time, and its NEAREST neighbours vote with weight similarity^SHARPNESS, each label scaled to its
-share of all training rows.
+share of all training rows. Vectors are multiples of 2^-20, so that products are exact, whatever else is in a block; of equally similar
+neighbours the first by label and identifier votes.
 
 A monotone step function, fitted on the examples' own leave-one-out votes, turns the weighted
-share of label 1 into the score (0 to 1). Whole texts are scored. Null counts as empty; a text without terms and, if only one
+share of label 1 into the score (0 to 1). Fitting is one executor task, over at most EXAMPLES rows of each label by hash, near copies once; an identifier
+with both labels is an example of both. Whole texts are scored. Null counts as empty; a text without terms and, if only one
 label or none was learnt, every text scores the share of label 1 (0.5 without training rows). Repeated rows score alike.
 Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _IS_SPACE, Lookup, Spans, as_bytes, fold, labelled_sample, monotone, slices, table, without_copies
+from .common import _IS_SPACE, Copies, Spans, as_bytes, fold, labelled_sample, model_of, monotone, slices, table
+from .toxicity import labelled_rows
 
-#: Labelled texts of each label, at most; texts beyond SHORT bytes only if there are too few others.
-EXAMPLES, SHORT = 2048, 128_000
-VOCABULARY, DIMENSIONS = 512, 64
+#: Labelled texts of each label, at most.
+EXAMPLES = 2048
+WORDS, DIMENSIONS = 1024, 64
 NEAREST, SHARPNESS = 15, 16
 #: Power of a term's information in its weight.
 POWER = 0.5
@@ -44,8 +48,8 @@ def _spread(texts: np.ndarray, terms: np.ndarray, count: int, width: int) -> np.
     return np.bincount(texts * width + terms, minlength=count * width).reshape(count, width).astype(np.float64)
 
 
-def terms(texts: list[bytes | None], vocabulary: Lookup, size: int) -> np.ndarray:
-    """Rates[text, term]: 256 bytes, the events, the vocabulary."""
+def terms(texts: list[bytes | None]) -> np.ndarray:
+    """Rates[text, term]: 256 bytes, the events, the words' columns."""
     spans = Spans(texts, _IS_SPACE)
     n = len(texts)
     of_byte = np.repeat(np.arange(n), np.diff(spans.text_at))
@@ -63,11 +67,16 @@ def terms(texts: list[bytes | None], vocabulary: Lookup, size: int) -> np.ndarra
     run = np.zeros(len(raw), np.bool_)
     run[1:] = _PUNCTUATION[raw[1:]] & (raw[1:] == raw[:-1])
     events = np.stack([np.bincount(of_word[again], minlength=n), np.bincount(of_word[loud], minlength=n), np.bincount(of_byte[run], minlength=n)], axis=1)
-    rows, at = vocabulary.find(words)
+    column = (words >> _U(65 - WORDS.bit_length())).astype(np.int64)
     length, held = np.diff(spans.text_at)[:, None] + 60, np.diff(spans.at)[:, None] + 10
     # per thousand bytes or words, so that long and short texts are alike; smoothed for the shortest
     buckets = np.hstack([events / held > least for least in _LEAST])
-    return 1000 * np.hstack([bytes_ / length, buckets, _spread(of_word[rows], at, n, max(1, size)) / held])
+    return 1000 * np.hstack([bytes_ / length, buckets, _spread(of_word, column, n, WORDS) / held])
+
+
+def _exact(x: np.ndarray) -> np.ndarray:
+    """Rounded to multiples of 2^-20: sums of products of such numbers need no rounding."""
+    return np.rint(x * 2**20) / 2**20
 
 
 def _information(values: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -91,43 +100,41 @@ def _information(values: np.ndarray, labels: np.ndarray, weight: np.ndarray) ->
 class Neighbours:
     """The fitted model; its size is bounded by the parameters."""
 
-    def __init__(self, rows: list[tuple[int, bytes, int]], totals: dict[int, int]):
+    def __init__(self, rows: Iterator[tuple[int, int, bytes, int]]):
+        """rows: (id, label, text, training rows of the label)"""
+        totals: dict[int, int] = {}
+        kept, rates, copies = [], [], (Copies(), Copies())
+        for _, label, text, total in rows:
+            totals[label] = total
+            if copies[label].new(text):
+                kept.append(label)
+                rates.append(terms([text]).astype(np.float32))
         self.share = totals.get(1, 0) / sum(totals.values()) if totals else 0.5
         self.ready = len(totals) == 2
         if not self.ready:
             return
-        by = [[r for r in rows if r[2] == y] for y in (0, 1)]
-        rows = [own[i] for own in by for i in without_copies([t for _, t, _ in own])]
-        labels = np.array([y for *_, y in rows])
-        seen: dict[int, int] = {}
-        for _, text, _ in rows:
-            spans = Spans([text], _IS_SPACE)
-            for h in np.unique(spans.hashes(spans.starts, spans.ends)).tolist():
-                seen[h] = seen.get(h, 0) + 1
-        common = sorted(seen, key=lambda h: (-seen[h], h))[:VOCABULARY]
-        self.vocabulary, self.size = Lookup(np.array(common, _U)), len(common)
-        counts = np.vstack([terms([t for _, t, _ in rows[i : i + 256]], self.vocabulary, self.size) for i in range(0, len(rows), 256)])
+        labels, counts = np.array(kept), np.vstack(rates)
         # every label weighs alike, however many texts of it there are
         weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
         logs = np.log1p(counts)
         spread = np.sqrt(np.maximum(logs.T**2 @ weight - (logs.T @ weight) ** 2, 1e-6))
         self.weights = _information(logs, labels, weight) ** POWER / (spread + 0.3)
         matrix = self._scaled(counts)
-        values, vectors = np.linalg.eigh(matrix.T @ (matrix * weight[:, None]))
-        self.space = np.ascontiguousarray(vectors[:, ::-1][:, :DIMENSIONS]).astype(np.float32)
+        _, vectors = np.linalg.eigh(matrix.T @ (matrix * weight[:, None]))
+        self.space = _exact(vectors[:, ::-1][:, :DIMENSIONS])
         self.examples = self._unit(matrix @ self.space)
-        self.labels = labels.astype(np.float32)
-        self.votes = np.array([totals[y] / (labels == y).sum() for y in (0, 1)], np.float32)[labels]
-        raw = np.concatenate([self._vote(self.examples[i : i + _BLOCK], i)[0] for i in range(0, len(rows), _BLOCK)])
+        self.labels = labels.astype(float)
+        self.votes = np.array([totals[y] / (labels == y).sum() for y in (0, 1)])[labels]
+        raw = np.concatenate([self._vote(self.examples[i : i + _BLOCK], i)[0] for i in range(0, len(kept), _BLOCK)])
         self.steps = monotone(raw, labels.astype(float), self.votes.astype(float))
 
     def _scaled(self, counts: np.ndarray) -> np.ndarray:
-        out = np.log1p(counts) * self.weights
-        return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        out = np.log1p(counts, dtype=np.float64) * self.weights
+        return _exact(out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12))
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
-        return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        return _exact(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12))
 
     def _vote(self, vectors: np.ndarray, leave_out: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(weighted share of label 1, total weight); leave_out: the vectors are the examples from there on, which don't vote for themselves."""
@@ -135,7 +142,9 @@ class Neighbours:
         if leave_out is not None:
             near[np.arange(len(vectors)), leave_out + np.arange(len(vectors))] = -1
         k = min(NEAREST, near.shape[1])
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        place = np.rint(near * 2**40).astype(np.int64) * 2 * EXAMPLES - np.arange(near.shape[1])  # distinct, also where similarities are equal
+        top = np.argpartition(-place, k - 1, axis=1)[:, :k]
+        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(place, top, 1), axis=1), 1)
         strength = np.maximum(np.take_along_axis(near, top, 1), 0) ** SHARPNESS * self.votes[top]
         total = strength.sum(1)
         return (strength * self.labels[top]).sum(1) / np.maximum(total, 1e-12), total
@@ -145,7 +154,7 @@ class Neighbours:
         if not self.ready:
             return out
         for at in range(0, len(texts), _BLOCK):
-            counts = terms(texts[at : at + _BLOCK], self.vocabulary, self.size)
+            counts = terms(texts[at : at + _BLOCK])
             voted, total = self._vote(self._unit(self._scaled(counts) @ self.space))
             left, value = self.steps
             calibrated = value[np.maximum(np.searchsorted(left, voted, side="right") - 1, 0)]
@@ -155,9 +164,10 @@ class Neighbours:
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pickle.loads(shared.value)
         for batch in batches:
             for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(shared.value.scores(as_bytes(part.column("text"))))], names=["id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(model.scores(as_bytes(part.column("text"))))], names=["id", "score"])
 
     return run
 
@@ -166,8 +176,8 @@ def scored(
     docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", parts: int = PARTS, held_out: int = HELD_OUT, threshold: float = THRESHOLD
 ) -> DataFrame:
     """One row per input row: id_column, held_out, score, predicted."""
-    rows, totals = labelled_sample(docs, labels, label_column, EXAMPLES, SHORT, id_column, text_column, parts, held_out)
-    shared = docs.sparkSession.sparkContext.broadcast(Neighbours(rows, totals))
+    sample = labelled_sample(docs, labels, label_column, EXAMPLES, id_column, text_column, parts, held_out)
+    shared = model_of(sample, ["label", "id"], lambda batches: Neighbours(labelled_rows(batches)), lambda: Neighbours(iter(())))
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     out = texts.mapInArrow(_score(shared), "id long, score double").withColumnRenamed("id", id_column)
     return out.select(id_column, (fold(id_column, parts) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
