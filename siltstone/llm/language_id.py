@@ -8,34 +8,37 @@ votes are popcounts per language over all its n-grams. A language's expected fal
 false-positive rate of its filter: votes' = (votes - rate * n-grams) / (1 - rate). The largest corrected share decides
 (ties: the first language by name); the score is its part of all corrected votes.
 
-It is fitted on a bounded sample of labelled rows: per language the SAMPLE whole texts of smallest hash, those of at most
-LEARNT_BYTES before longer ones; predictions read whole texts. Texts that are null or have no letter are `und` with score 0. A text without any hit gets
+It is fitted in one executor task on a bounded sample of labelled rows: per language the SAMPLE whole texts whose identifiers have the smallest
+hashes; predictions read whole texts. Texts that are null or have no letter (a character of a Unicode letter category; numerals are none) are `und` with score 0. A text without any hit gets
 the language with the most training rows (of all, not of the sample; ties: the first by name), score 1 / languages.
-Without labelled rows everything is `und`. Any number of languages: slices of more than 64 take several words a cell, and
-learning reads the table once or twice for each language. Extra columns are ignored. An empty table gives an empty result.
+Without labelled rows everything is `und`. Any number of languages: slices of more than 64 take several words a cell. Repeated rows get the same
+language and score; of rows that share language and identifier the smallest text is learnt from. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex as re
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fold, in_pieces, likely, mix, slices, table
+from .common import as_bytes, fold, in_pieces, likely, model_of, slices, table
 
 LENGTHS = (3, 4, 5)
-#: Training texts of a language, and the length beyond which a text is taken only if there are too few others.
-SAMPLE, LEARNT_BYTES = 400, 16_000
+#: Training texts of a language.
+SAMPLE = 400
+#: Rows of identifiers that are broadcast at most; with more languages than that allows, the sample is joined by a shuffle.
+BROADCAST = 400_000
 MORE, LEAST_TEXTS = 4.0, 3
 CELLS, PROBES = 1 << 19, 2
 PARTS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 _TOGETHER = 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"\p{L}")
 _U = np.uint64
 
 #: Bytes that end a word here: everything in ASCII that is not a letter.
@@ -146,48 +149,59 @@ def _largest_elsewhere(grams: list[np.ndarray], shares: list[np.ndarray]) -> lis
     return np.split(out, np.cumsum([len(g) for g in grams])[:-1])
 
 
-def learnt(rows: list[tuple[str, bytes]], counts: dict[str, int]) -> LanguageFilters | None:
-    """Filters from (language, text) rows; `counts` are the languages' rows before sampling."""
-    by: dict[str, list[bytes]] = {}
-    for language, text in rows:
-        by.setdefault(language, []).append(text)
+def _summed(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct n-grams, the sums of their counts, how many of the arrays they are in)"""
+    if not grams:
+        return np.empty(0, _U), np.empty(0), np.empty(0)
+    known, at = np.unique(np.concatenate(grams), return_inverse=True)
+    return known, np.bincount(at, np.concatenate(counts), len(known)), np.bincount(at, minlength=len(known))
+
+
+def _counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct n-grams, counts) of a text, a piece at a time."""
+    parts = [np.unique(ngrams([piece])[0], return_counts=True) for piece in in_pieces([text], _TOGETHER)[0]]
+    return parts[0] if len(parts) == 1 else _summed([g for g, _ in parts], [n for _, n in parts])[:2]
+
+
+def learnt(rows: Iterable[tuple[str, bytes, int]]) -> LanguageFilters | None:
+    """Filters from rows of language, text and the language's rows before sampling."""
+    by: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    totals: dict[str, int] = {}
+    for language, text, total in rows:
+        by.setdefault(language, []).append(_counted(text))
+        totals[language] = total
     if not by:
         return None
     languages = sorted(by)
-    filters = LanguageFilters(languages, max(range(len(languages)), key=lambda k: (counts[languages[k]], -k)))
-    counted = []
-    for language in languages:
-        grams, at = ngrams(by[language])
-        owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        with np.errstate(over="ignore"):
-            one_a_text = np.unique(mix(grams) + owner.astype(_U), return_index=True)[1]
-        in_texts = dict(zip(*(x.tolist() for x in np.unique(grams[one_a_text], return_counts=True)), strict=True))
-        counted.append((*np.unique(grams, return_counts=True), max(1, len(grams)), in_texts))
-    others = _largest_elsewhere([grams for grams, *_ in counted], [seen / total for _, seen, total, _ in counted])
-    for k, ((grams, seen, total, in_texts), other) in enumerate(zip(counted, others, strict=True)):
-        least = min(LEAST_TEXTS, len(by[languages[k]]))
-        several = np.fromiter((in_texts[g] >= least for g in grams.tolist()), np.bool_, len(grams))
-        typical = several & (seen / total >= MORE * other if len(languages) > 1 else True)
+    filters = LanguageFilters(languages, max(range(len(languages)), key=lambda k: (totals[languages[k]], -k)))
+    counted = [_summed([g for g, _ in by[language]], [n for _, n in by[language]]) for language in languages]
+    shares = [seen / max(1, seen.sum()) for _, seen, _ in counted]
+    others = _largest_elsewhere([grams for grams, *_ in counted], shares)
+    for k, ((grams, _, in_texts), share, other) in enumerate(zip(counted, shares, others, strict=True)):
+        typical = (in_texts >= min(LEAST_TEXTS, len(by[languages[k]]))) & (share >= MORE * other if len(languages) > 1 else True)
         filters.add(k, grams[typical])
     filters.settle()
     return filters
 
 
-def sample_of(docs: DataFrame, id_column: str, text_column: str, label_column: str, parts: int = PARTS, held_out: int = HELD_OUT) -> tuple[list[tuple[str, bytes]], dict[str, int]]:
-    """(labelled training rows, SAMPLE per language, by smallest hash; training rows of each language before sampling)."""
+def sample_of(docs: DataFrame, id_column: str, text_column: str, label_column: str, parts: int = PARTS, held_out: int = HELD_OUT) -> DataFrame:
+    """language, total (training rows of the language), id, text: the SAMPLE rows of each language whose identifiers have the smallest hashes, chosen without their texts."""
     train = docs.filter(F.col(label_column).isNotNull() & F.col(text_column).isNotNull() & (fold(id_column, parts) != held_out))
-    long = F.octet_length(text_column) > LEARNT_BYTES
-    counts = train.groupBy(label_column).agg(F.count("*").alias("n"), F.count_if(long).alias("long")).orderBy(F.desc("n"), label_column).collect()
-    rows = []
-    for language, n, n_long in counts:
-        left = SAMPLE
-        for is_long, held in ((False, n - n_long), (True, n_long)):
-            if left > 0 and held:
-                part = train.filter((F.col(label_column) == language) & (long == is_long)).select(F.col(text_column).alias("text"), F.xxhash64(F.col(id_column)).alias("h"), F.col(id_column).alias("i"))
-                found = part.filter(likely(F.col("h"), left, held)).orderBy("h", "i").limit(left).collect()
-                rows += [(language, r["text"].encode()) for r in found]
-                left = left - held
-    return rows, {language: n for language, n, _ in counts}
+    train = train.select(F.col(label_column).cast("string").alias("language"), F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    named = train.select("language", "id", F.xxhash64("id").alias("h"))
+    totals = named.groupBy("language").agg(F.count("*").alias("total"))
+    small = totals.limit(BROADCAST // SAMPLE + 1).count() <= BROADCAST // SAMPLE  # so many languages that the sample's identifiers can be broadcast
+    sent = F.broadcast if small else (lambda df: df)
+    low = named.join(sent(totals), "language").filter(likely(F.col("h"), SAMPLE, F.col("total"))).distinct()  # some more than SAMPLE rows of each language
+    first = Window.partitionBy("language").orderBy("h", "id")
+    chosen = low.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= SAMPLE).select("language", "id", "total")
+    return train.join(sent(chosen), ["language", "id"]).groupBy("language", "total", "id").agg(F.min("text").alias("text"))
+
+
+def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, int]]:
+    for batch in batches:
+        for part in slices(batch):
+            yield from zip(part.column("language").to_pylist(), as_bytes(part.column("text")), part.column("total").to_pylist(), strict=True)
 
 
 _OUT = "id long, lang_pred string, score double"
@@ -195,7 +209,7 @@ _OUT = "id long, lang_pred string, score double"
 
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = shared.value
+        filters = pickle.loads(shared.value)
         for batch in batches:
             for part in slices(batch):
                 texts = part.column("text").to_pylist()
@@ -213,7 +227,8 @@ def _predict(shared):
 
 def predicted(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", parts: int = PARTS, held_out: int = HELD_OUT) -> DataFrame:
     """One row per input row: id_column, held_out, lang_pred, score."""
-    filters = docs.sparkSession.sparkContext.broadcast(learnt(*sample_of(docs, id_column, text_column, label_column, parts, held_out)))
+    sample = sample_of(docs, id_column, text_column, label_column, parts, held_out)
+    filters = model_of(sample, ["language", "id"], lambda batches: learnt(_training_rows(batches)), lambda: None)
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     out = texts.mapInArrow(_predict(filters), _OUT).withColumnRenamed("id", id_column)
     return out.select(id_column, (fold(id_column, parts) == held_out).alias("held_out"), "lang_pred", "score")
