@@ -120,21 +120,70 @@ def test_sketch_estimates():
     assert abs(found[0] - 0.8) < 0.12 and may[0]
 
 
+def brute_links(rows, threshold=0.98):
+    """{position: (links, position of the smallest identifier reached)} of usable (id, label, vector) rows, by all pairs."""
+    good = [i for i, (_, label, v) in enumerate(rows) if label is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    links, name = dict.fromkeys(range(len(rows)), 0), {i: i for i in range(len(rows))}
+
+    def root(x):
+        while name[x] != x:
+            x = name[x]
+        return x
+
+    for group in {(rows[i][1], len(rows[i][2])) for i in good}:
+        own = [i for i in good if (rows[i][1], len(rows[i][2])) == group]
+        unit = np.array([rows[i][2] for i in own])
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        linked = unit @ unit.T >= threshold
+        np.fill_diagonal(linked, False)
+        for a, row in zip(own, linked):
+            links[a] = int(row.sum())
+            for b in np.flatnonzero(row):
+                x, y = root(a), root(own[b])
+                name[y] = x
+    least = {}
+    for i in range(len(rows)):
+        least[root(i)] = min(least.get(root(i), rows[i][0]), rows[i][0])
+    return {i: (links[i], least[root(i)]) for i in range(len(rows))}
+
+
+def embedding_rows(spark, rows, **options):
+    frame = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>").withColumn("id", F.lit(1)).withColumn("list", F.lit(1)).withColumn("class", F.lit(1))
+    return [tuple(r) for r in embedding_dedup.embedding_groups(frame, **options).select("vec_id", "n_links", "component_id", "kept").collect()]
+
+
 def test_embeddings_brute_force(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(30, 16))
     rows = [(i, str(i % 2), (base[i % 30] + rng.normal(scale=0.05, size=16)).tolist()) for i in range(700)]
-    rows += [(900, None, [1.0] * 16), (901, "0", None), (902, "0", [0.0] * 16), (903, "0", [1.0, None]), (904, "0", [float("nan")]), (905, "0", rows[0][2]), (906, "0", [])]
-    frame = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>").withColumn("id", F.lit(1)).withColumn("mask", F.lit(1))
-    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_groups(frame).collect()}
-    good = [r for r in rows if r[0] < 900 or r[0] == 905]
-    unit = np.array([r[2] for r in good]) / np.linalg.norm([r[2] for r in good], axis=1, keepdims=True)
-    links = (unit @ unit.T >= 0.98) & (np.array([r[1] for r in good])[:, None] == np.array([r[1] for r in good])[None, :])
-    true = {r[0]: int(n) - 1 for r, n in zip(good, links.sum(1))}
-    assert all(got[i] <= n for i, n in true.items())
-    assert sum(got[i] for i in true) >= 0.9 * sum(true.values())
-    assert all(got[i] == 0 for i in (900, 901, 902, 903, 904, 906))
-    assert embedding_dedup.embedding_groups(frame.limit(0)).count() == 0
+    rows += [(900, None, [1.0] * 16), (901, "0", None), (902, "0", [0.0] * 16), (903, "0", [1.0, None]), (904, "0", [float("nan")]), (905, "0", rows[0][2]), (906, "0", []), (907, "0", [1.0, 2.0]), (908, "0", [2.0, 4.0])]
+    # one identifier with two vectors: the links of both are kept
+    rows += [(910, "x", [1.0, 0.0, 0.0]), (910, "x", [0.0, 1.0, 0.0]), (911, "x", [1.0, 0.01, 0.0]), (912, "x", [0.0, 1.0, 0.01])]
+    want = sorted((rows[i][0], n, c, rows[i][0] == c) for i, (n, c) in brute_links(rows).items())
+    assert sorted(embedding_rows(spark, rows, exact=True)) == want
+    got = sorted(embedding_rows(spark, rows))
+    assert sum(n for _, n, *_ in got) >= 0.99 * sum(n for _, n, *_ in want)
+    assert all(g[0] == w[0] and g[1] <= w[1] for g, w in zip(got, want))
+    assert [g for g in got if g[0] >= 900] == [w for w in want if w[0] >= 900]
+    assert embedding_rows(spark, rows[:0] or [(1, None, None)]) == [(1, 0, 1, True)]
+    assert embedding_dedup.embedding_groups(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>").limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("dimension", "clusters", "noise"), [(16, 60, 0.12), (64, 40, 0.13), (256, 3, 0.12), (768, 5, 0.1)])
+def test_embeddings_recall(spark, monkeypatch, dimension, clusters, noise):
+    """Dense and spread clusters in low and high dimension; lists of single pivots and of pairs find the same links."""
+    rng = np.random.default_rng(dimension)
+    base = rng.normal(size=(clusters, dimension))
+    rows = [(i, "a", (base[i % clusters] + rng.normal(scale=noise, size=dimension)).tolist()) for i in range(900)]
+    brute = brute_links(rows)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 300)
+    got = sorted(embedding_rows(spark, rows))
+    found, true = sum(n for _, n, *_ in got), sum(n for n, _ in brute.values())
+    assert true > 1000 and found >= 0.98 * true and all(n <= brute[i][0] for i, n, *_ in got)
+    if found == true:
+        assert [c for _, _, c, _ in got] == [brute[i][1] for i in range(len(rows))]
+    monkeypatch.setattr(embedding_dedup, "LONG", 1)
+    assert sorted(embedding_rows(spark, rows)) == got
 
 
 def test_urls(spark):
