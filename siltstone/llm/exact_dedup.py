@@ -7,7 +7,7 @@ heaviest subtree: the subtree's terminals go out as partial owners and the subtr
 text meet in a last, small aggregation by (length, SHA-256).
 
 Nulls count as empty text. Empty texts are one group. Repeated rows count as rows of their group. Of two rows with the
-same identifier both are returned. Extra columns are ignored. An empty table gives an empty result.
+same identifier both are returned. A null identifier stands after all others. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,12 +31,12 @@ class Owner:
 
     __slots__ = ("points", "row", "rows")
 
-    def __init__(self, points: int, row: int, rows: int):
+    def __init__(self, points: int, row: int | None, rows: int):
         self.points, self.row, self.rows = points, row, rows
 
-    def take(self, points: int, row: int, rows: int) -> None:
+    def take(self, points: int, row: int | None, rows: int) -> None:
         self.rows += rows
-        if (-points, row) < (-self.points, self.row):
+        if (-points, row is None, row or 0) < (-self.points, self.row is None, self.row or 0):
             self.points, self.row = points, row
 
 
@@ -55,7 +55,7 @@ class RadixTrie:
         self.root = _Node()
         self.size = 0  # bytes held, with an allowance for nodes
 
-    def insert(self, key: bytes, points: int, row: int, rows: int = 1) -> None:
+    def insert(self, key: bytes, points: int, row: int | None, rows: int = 1) -> None:
         node, at = self.root, 0
         while True:
             if at == len(key):
@@ -201,7 +201,7 @@ def owners(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     local = texts.mapInArrow(_local_owners, _OWNERS)
     dealt = local.repartition(parallelism(docs.sparkSession), "size", F.xxhash64("digest"))
     partial = dealt.mapInArrow(_merged_owners, _OWNERS)
-    best = F.min(F.struct((-F.col("points")).alias("less"), "row")).alias("best")
+    best = F.min(F.struct((-F.col("points")).alias("less"), F.col("row").isNull().alias("unnamed"), "row")).alias("best")
     return partial.groupBy("size", "digest").agg(best, F.sum("rows").alias("rows")).select("size", "digest", (-F.col("best.less")).alias("points"), F.col("best.row").alias("row"), "rows")
 
 
@@ -214,15 +214,17 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     sha = F.lower(F.hex("digest")).alias("text_sha256")
     owned = owners(docs, id_column, text_column).select(sha, "row", "rows")
     joined = keys.select("id", sha).join(owned.hint("merge"), "text_sha256")
-    return joined.select(F.col("id").alias(id_column), F.col("row").alias("keep_id"), F.col("rows").alias("group_size"), (F.col("id") == F.col("row")).alias("kept"), "text_sha256")
+    return joined.select(F.col("id").alias(id_column), F.col("row").alias("keep_id"), F.col("rows").alias("group_size"), F.col("id").eqNullSafe(F.col("row")).alias("kept"), "text_sha256")
 
 
 def kept_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs that own their text, all columns as they were. Of rows that repeat an owner's id and text, one stays."""
-    held = owners(docs, id_column, text_column).select(F.col("row").alias("_row"), F.lower(F.hex("digest")).alias("_held"))
-    marked = docs.withColumn("_digest", sha256_of(F.col(text_column)))
-    kept = marked.join(held, (marked[id_column] == held["_row"]) & (marked["_digest"] == held["_held"]), "left_semi")
-    return kept.dropDuplicates([id_column, "_digest"]).drop("_digest")
+    held = owners(docs, id_column, text_column).select("row", F.lower(F.hex("digest")).alias("held"), "points").alias("owner")
+    text = F.col(f"docs.{text_column}")
+    same = F.col(f"docs.{id_column}").cast("long").eqNullSafe(F.col("owner.row")) & (sha256_of(text) == F.col("owner.held")) & (F.length(F.coalesce(text, F.lit(""))) == F.col("owner.points"))
+    kept = docs.alias("docs").join(held, same, "left_semi")
+    rows = F.struct(*[F.col(c) for c in docs.columns])
+    return kept.select(rows.alias("row"), F.col(id_column).alias("id"), sha256_of(F.col(text_column)).alias("digest")).dropDuplicates(["id", "digest"]).select("row.*")
 
 
 def sha256_of(text: Column) -> Column:
