@@ -6,18 +6,20 @@ registers of a union are the maxima, so sketches merge, and two sets agree in a
 their Jaccard similarity. Six registers make a band; texts with an equal band meet in a bucket. A pair is dropped
 without its texts only where the joint likelihood of (greater, smaller, equal) registers at the threshold is e^-12.5
 of its maximum or less, or where set sizes alone forbid it; all others are confirmed on the full sets, a shingle being
-a 64-bit hash of its words.
+a 64-bit hash of its words. Two sets of n shingles hold a pair of different shingles with one hash with a chance below n^2 / 2^64, that is 2e-11 for texts of
+20,000 words; one such pair changes an intersection by one.
 
-Texts of one set (copies) collapse to their smallest identifier first. A text is compared with the
-smallest members of its buckets, the four that it shares most bands with. Where a bucket then still holds members of different components, those are compared with each
-other by their registers: in blocks of 512, each pair of blocks a task's own group, so that neither is a bucket held
+Texts of one set (copies) collapse to a class first; classes have numbers of their own, so that rows which share an identifier but not their set stay
+apart. A class is compared with the first members of its buckets, the four that it shares most bands with. Where a bucket then still holds members of different components, those are compared with each
+other by their registers: the members of the bucket's largest component form blocks of their own, which meet only the blocks of the rest, so that a stray
+member costs a bucket's length and not its square. In blocks of 512, each pair of blocks a task's own group, so that neither is a bucket held
 whole nor are its pairs made; pairs that may link leave a block as lists, once, from the first band they share, and are
 verified in blocks too: a text is sent to a block, not to a partner. So no pair
 that shares a band is left out unless it is in one component already. At similarity 0.85 a pair shares none of 32 bands of 6 with a
 chance of 3e-7.
 
 Nulls and texts without words have an empty set and link with nothing. Repeated identifiers count as copies of each other
-only if their sets are equal. Extra columns are ignored. An empty table gives an empty result.
+only if their sets are equal. A component's identifier is the smallest of its members'; null identifiers count only if it has no other. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -126,7 +128,7 @@ def shingle_sets(texts: list[bytes | None], shingle: int) -> tuple[np.ndarray, n
     return shingles[new], np.concatenate(([0], np.cumsum(new)))[at]
 
 
-_SKETCH = "id long, n_shingles long, set_a long, set_b long, registers binary, bands array<long>"
+_SKETCH = "id long, mark long, n_shingles long, set_a long, set_b long, registers binary, bands array<long>"
 
 
 def _sketch(shingle: int):
@@ -145,13 +147,14 @@ def _sketch(shingle: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"),
+                        part.column("mark"),
                         pa.array(count, pa.int64()),
                         pa.array(set_a),
                         pa.array(set_b),
                         pa.array([r.tobytes() for r in values], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[~empty].ravel())),
                     ],
-                    names=["id", "n_shingles", "set_a", "set_b", "registers", "bands"],
+                    names=["id", "mark", "n_shingles", "set_a", "set_b", "registers", "bands"],
                 )
 
     return run
@@ -375,20 +378,32 @@ class _Linker:
         return staged(dealt.mapInArrow(_confirm(self.shingle, self.percent), "u long, v long"), f"{tag}-links")
 
 
-def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 85, shingle: int = SHINGLE) -> DataFrame:
-    """One row per input row: id_column, n_shingles, component_id, kept."""
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+_CONTENT = ["set_a", "set_b", "n_shingles"]
+
+
+def _marked(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+
+
+def _classes(docs: DataFrame, id_column: str, text_column: str, percent: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(sketches: id, mark, the set; classes: the set, head (id and mark of a row of it), component)"""
+    texts = _marked(docs, id_column, text_column)
     sketches = staged(texts.mapInArrow(_sketch(shingle), _SKETCH), "sketches")
-    sets = sketches.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("class_id"))
-    sets = staged(sets, "sets")
-    first = sketches.join(sets.select(F.col("class_id").alias("id"), "set_a", "set_b"), ["id", "set_a", "set_b"], "left_semi").dropDuplicates(["id"])
+    sets = sketches.filter("n_shingles > 0").groupBy(*_CONTENT).agg(F.min(_head()).alias("head"))
+    sets = staged(sets.withColumn("class", F.monotonically_increasing_id()), "sets")
+    heads = sets.select(F.col("class"), *_CONTENT, F.col("head.id").alias("head_id"), F.col("head.mark").alias("mark"))
+    # the identifier is a key of this join, so that copies of one text are not dealt to one task
+    first = sketches.join(heads.select("class", F.col("head_id").alias("id"), *_CONTENT).alias("h"), [sketches[c] == F.col(f"h.{c}") for c in _CONTENT] + [sketches["id"].eqNullSafe(F.col("h.id"))])
+    first = first.select(F.col("class").alias("id"), sketches["n_shingles"], "registers", "bands").dropDuplicates(["id"])
     banded = first.select("id", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")
     members = staged(banded.join(buckets, "key").select("key", "leader", "id"), "members")
 
     # only texts that share a bucket are read again, and written once
     near = members.select("id").distinct()
-    held = staged(texts.join(near, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    wanted = heads.join(near.withColumnRenamed("id", "class"), "class").select("class", "head_id", "mark")
+    held = texts.join(wanted, texts["id"].eqNullSafe(wanted["head_id"]) & (texts["mark"] == wanted["mark"])).select(F.col("class").alias("id"), "text")
+    held = staged(held.dropDuplicates(["id"]), "texts")
     linker = _Linker(held, first.join(near, "id", "left_semi"), shingle, percent)
     shared = members.filter("id <> leader").groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("bands"))
     nearest = Window.partitionBy("b").orderBy(F.desc("bands"), "a")
@@ -396,17 +411,22 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     direct = linker.links(linker.plausible(likely), "direct")
     named = components(direct)
 
-    # buckets that still hold several components
+    # buckets that still hold several components: blocks of the largest one first, then of the rest
     placed = members.join(named, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    still = staged(placed.join(mixed.join(several, "key"), "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")), "still")
+    shares = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = shares.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n")).filter("n > most.n")
+    mixed = mixed.select("key", F.col("most.component").alias("main"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("rests"))
+    is_main = F.col("component") == F.col("main")
+    own = F.when(is_main, F.pmod(F.xxhash64("id"), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("id"), "rests")).cast("int")
+    least_other = F.when(is_main, F.col("mains")).otherwise(0)  # a block of the largest component meets none of its own
+    still = placed.join(mixed, "key").select("key", "id", "component", own.alias("own"), least_other.alias("from"), (F.col("mains") + F.col("rests") - 1).alias("to"))
+    still = staged(still, "still")
     # texts that meet in many buckets are verified together, in blocks of the component that the leaders make
     homes = still.select("id", "component").distinct().join(linker.sides, "id").join(components(likely.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("component", "home"), "id", "left")
     homes = staged(homes.withColumn("home", F.coalesce("home", "id")), "homes")
     parts = homes.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).alias("parts"))
     homes = homes.join(parts, "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("id", F.lit("block")), "parts"))).drop("home", "parts")
-    paired = still.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = still.withColumn("with", F.explode(F.sequence("from", "to")))
     paired = paired.select("key", F.least("own", "with").alias("first"), F.greatest("own", "with").alias("second"), "own", "id")
     full = paired.join(homes, "id").select(*[c.split()[0] for c in _CROSS.split(", ")])
     dealt = full.repartition(linker.partitions, "key", "first", "second").sortWithinPartitions("key", "first", "second")
@@ -414,11 +434,48 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     crossing = staged(linker.united(lists, homes.select("id", "component")), "crossing")
     found = components(named.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(crossing))
 
-    classes = sketches.select("id", "n_shingles", "set_a", "set_b").join(sets, ["set_a", "set_b", "n_shingles"], "left")
-    out = classes.select("id", "n_shingles", F.coalesce("class_id", "id").alias("class_id")).join(found.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
-    component = F.coalesce("component", "class_id")
-    return out.select(F.col("id").alias(id_column), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    classes = sets.join(found.select(F.col("id").alias("class"), "component"), "class", "left").select(*_CONTENT, "head", F.coalesce("component", "class").alias("component"))
+    return sketches.select("id", "mark", *_CONTENT), classes
+
+
+def _head():
+    """Of several rows the one of smallest identifier, null the last, then of smallest text hash."""
+    return F.struct(F.col("id").isNull().alias("unnamed"), "id", "mark")
+
+
+def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 85, shingle: int = SHINGLE) -> DataFrame:
+    """One row per input row: id_column, n_shingles, component_id, kept."""
+    sketches, classes = _classes(docs, id_column, text_column, percent, shingle)
+    least = classes.groupBy("component").agg(F.min("head").alias("least")).select("component", F.col("least.id").alias("component_id"))
+    out = sketches.join(classes.join(least, "component").select(*_CONTENT, "component_id"), _CONTENT, "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_column), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def kept_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 85, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs that are first in their group, and all without words, with their columns. Rows are told apart by identifier and text; those that repeat both stay together."""
+    sketches, classes = _classes(docs, id_column, text_column, percent, shingle)
+    least = classes.groupBy("component").agg(F.min("head").alias("least"))
+    grouped = sketches.filter("n_shingles > 0").join(classes.join(least, "component").select(*_CONTENT, "least"), _CONTENT)
+    dropped = grouped.filter(~(F.col("id").eqNullSafe(F.col("least.id")) & (F.col("mark") == F.col("least.mark")))).select("id", "mark").distinct().alias("dropped")
+    same = F.col(f"docs.{id_column}").cast("long").eqNullSafe(F.col("dropped.id")) & (F.xxhash64(F.col(f"docs.{text_column}").cast("string")) == F.col("dropped.mark"))
+    return docs.alias("docs").join(dropped, same, "left_anti")
 
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
+
+
+#: Pairs of documents that share a shingle are joined; links are closed by recursion.
+SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
+f AS (SELECT doc_id, i, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) AS g, lead(w, 4) OVER o AS fifth FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT DISTINCT doc_id, g FROM f WHERE fifth IS NOT NULL OR i = 1),
+s AS (SELECT doc_id, count(g) AS n FROM documents LEFT JOIN e USING (doc_id) GROUP BY doc_id),
+i AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+p AS (SELECT u, v FROM i JOIN s x ON x.doc_id = u JOIN s y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT p.v, r.c FROM r JOIN p ON p.u = r.id),
+m AS (SELECT id, min(c) AS component_id FROM r GROUP BY id)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN m ON m.id = doc_id
+"""

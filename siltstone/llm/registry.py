@@ -29,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_embedding_dedup": embedding_dedup.SQL,
         "op2_exact_dedup": exact_dedup.SQL,
         "op7_url_filters": url_filters.SQL,
+        "op8_near_dedup": near_dedup.SQL,
         "op10_lm_scoring": lm_scoring.SQL,
     }
