@@ -207,32 +207,56 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, byt
 _OUT = "id long, lang_pred string, score double"
 
 
+def _decided(filters: LanguageFilters | None, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the language, score, whether the text has a letter and a language can be told)"""
+    texts = column.to_pylist()
+    if filters is None:
+        return np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts), np.bool_)
+    known = np.array([t is not None and _LETTER.search(t) is not None for t in texts], np.bool_)
+    best, score = filters.decide([t or b"" for t in as_bytes(column)])
+    return best, np.where(known, score, 0.0), known
+
+
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = pickle.loads(shared.value)
         for batch in batches:
             for part in slices(batch):
-                texts = part.column("text").to_pylist()
-                known = np.array([t is not None and _LETTER.search(t) is not None for t in texts], np.bool_)
-                if filters is None:
-                    known[:] = False
-                    best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-                else:
-                    best, score = filters.decide([t or b"" for t in as_bytes(part.column("text"))])
-                names = [filters.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)] if filters else [UNKNOWN] * len(texts)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0))], names=["id", "lang_pred", "score"])
+                best, score, known = _decided(filters, part.column("text"))
+                names = [filters.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(names, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
 
     return run
 
 
+def _accept(shared, text_column: str, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = pickle.loads(shared.value)
+        for batch in batches:
+            for part in slices(batch, text_column):
+                _, score, known = _decided(filters, part.column(text_column))
+                yield part.filter(pa.array(known & (score >= least)))
+
+    return run
+
+
+def fitted(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", parts: int = PARTS, held_out: int = HELD_OUT):
+    """The filters as a broadcast of their pickled bytes."""
+    return model_of(sample_of(docs, id_column, text_column, label_column, parts, held_out), ["language", "id"], lambda batches: learnt(_training_rows(batches)), lambda: None)
+
+
 def predicted(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", parts: int = PARTS, held_out: int = HELD_OUT) -> DataFrame:
     """One row per input row: id_column, held_out, lang_pred, score."""
-    sample = sample_of(docs, id_column, text_column, label_column, parts, held_out)
-    filters = model_of(sample, ["language", "id"], lambda batches: learnt(_training_rows(batches)), lambda: None)
+    filters = fitted(docs, id_column, text_column, label_column, parts, held_out)
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     out = texts.mapInArrow(_predict(filters), _OUT).withColumnRenamed("id", id_column)
     return out.select(id_column, (fold(id_column, parts) == held_out).alias("held_out"), "lang_pred", "score")
 
 
+def accepted_rows(docs: DataFrame, least: float, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang") -> DataFrame:
+    """The rows of docs whose language is told with a score of least or more, with their columns; decided row by row, whatever the identifiers."""
+    return docs.mapInArrow(_accept(fitted(docs, id_column, text_column, label_column), text_column, least), docs.schema)
+
+
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
     return predicted(table(spark, sf_dir, "documents"))

@@ -172,16 +172,36 @@ def _score(shared):
     return run
 
 
+def _accept(shared, text_column: str, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pickle.loads(shared.value)
+        for batch in batches:
+            for part in slices(batch, text_column):
+                yield part.filter(pa.array(model.scores(as_bytes(part.column(text_column))) >= threshold))
+
+    return run
+
+
+def fitted(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", parts: int = PARTS, held_out: int = HELD_OUT):
+    """The model as a broadcast of its pickled bytes."""
+    sample = labelled_sample(docs, labels, label_column, EXAMPLES, id_column, text_column, parts, held_out)
+    return model_of(sample, ["label", "id"], lambda batches: Neighbours(labelled_rows(batches)), lambda: Neighbours(iter(())))
+
+
 def scored(
     docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", parts: int = PARTS, held_out: int = HELD_OUT, threshold: float = THRESHOLD
 ) -> DataFrame:
     """One row per input row: id_column, held_out, score, predicted."""
-    sample = labelled_sample(docs, labels, label_column, EXAMPLES, id_column, text_column, parts, held_out)
-    shared = model_of(sample, ["label", "id"], lambda batches: Neighbours(labelled_rows(batches)), lambda: Neighbours(iter(())))
+    shared = fitted(docs, labels, id_column, text_column, label_column, parts, held_out)
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     out = texts.mapInArrow(_score(shared), "id long, score double").withColumnRenamed("id", id_column)
     return out.select(id_column, (fold(id_column, parts) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def accepted_rows(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score threshold at least, with their columns; decided row by row, whatever the identifiers."""
+    return docs.mapInArrow(_accept(fitted(docs, labels, id_column, text_column, label_column), text_column, threshold), docs.schema)
+
+
 def op6_quality(spark, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

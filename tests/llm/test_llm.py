@@ -38,6 +38,16 @@ def test_exact(spark):
     assert exact_dedup.exact_groups(docs(spark, EDGE).limit(0)).count() == 0
 
 
+def test_exact_null_identifiers(spark):
+    rows = [(None, "a"), (None, "a "), (None, " b"), (3, "b"), (None, "c"), (None, "c"), (5, "d"), (5, "d  "), (5, "d")]
+    frame = docs(spark, rows)
+    got = sorted(((r["doc_id"] or 0), r["keep_id"] or 0, r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(frame).collect())
+    assert got == [(0, 0, 2, True)] * 5 + [(3, 0, 2, False)] + [(5, 5, 3, True)] * 3
+    kept = exact_dedup.kept_rows(frame)
+    assert kept.columns == frame.columns
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in kept.collect()) == [(0, " b"), (0, "a "), (0, "c"), (5, "d  ")]
+
+
 def test_trie_spills(monkeypatch):
     trie, rng, seen = exact_dedup.RadixTrie(), np.random.default_rng(0), collections.Counter()
     out = collections.Counter()
@@ -108,6 +118,26 @@ def test_near_cloud(spark, monkeypatch):
     assert got == brute_components({i: shingles(t) for i, t in texts})
 
 
+def test_near_repeated_identifiers(spark):
+    """Rows that share an identifier, or have none, keep the links of their own texts."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    texts = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, c), (4, c), (None, c + " more"), (None, "alone " * 9), (5, c.upper())]
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in near_dedup.near_groups(docs(spark, texts)).collect())
+    assert got == [(0, 1, 0, True), (0, 57, 4, False), (1, 56, 1, True), (1, 56, 1, True), (2, 57, 1, False), (3, 57, 1, False), (4, 56, 4, True), (4, 56, 4, True), (5, 56, 4, False)]
+
+
+def test_near_stray_members_of_large_buckets(spark, monkeypatch):
+    """A stray member of a bucket is sent to its blocks; the blocks of the largest component are not sent to each other."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "LEADERS", 1)
+    rng = np.random.default_rng(11)
+    base = [f"v{i}" for i in range(100)]
+    texts = [(i, " ".join(base[:k] + [f"q{i}"] + base[k + 1 :])) for i, k in enumerate(rng.integers(0, 100, 150).tolist())]
+    texts += [(500 + i, " ".join(base[:k] + [f"z{i}{j}" for j in range(9 + i)] + base[k + 9 + i :])) for i, k in enumerate(range(10, 60, 10))]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(docs(spark, texts)).collect()}
+    assert got == brute_components({i: shingles(t) for i, t in texts})
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 2**63, (2, 900)).astype(np.uint64)
@@ -388,12 +418,63 @@ def test_pipeline(spark):
 
     frame = spark.read.parquet(f"{DATA}/documents.parquet")
     now = frame
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    for name, stage in corpus_pipeline.STAGES[:-1]:
         before, now = now, stage(spark, now, DATA)
         assert now.columns == frame.columns
         now = spark.createDataFrame(now.collect(), frame.schema)
         assert 0 < now.count() <= before.count()
-    sets = {r["doc_id"]: shingles(r["text"]) for r in now.collect()}
-    assert all(i == c for i, c in brute_components(sets).items())
+        if name == "MinHash near-dedup":
+            sets = {r["doc_id"]: shingles(r["text"]) for r in before.collect()}
+            assert sorted(r["doc_id"] for r in now.collect()) == sorted(i for i, c in brute_components(sets, 80).items() if i == c)
     pieces = corpus_pipeline.STAGES[-1][1](spark, now, DATA)
     assert pieces.select("doc_id").distinct().count() == now.count()
+
+
+def test_pipeline_edges(spark):
+    """Repeated and null identifiers, null and empty texts, clashing columns and an empty table."""
+    import corpus_pipeline
+
+    frame = spark.read.parquet(f"{DATA}/documents.parquet")
+    good, other = (r["text"] for r in corpus_pipeline.good_quality(spark, frame, DATA).filter("length(text) > 300").orderBy("doc_id").limit(2).collect())
+    bad = quality.scored(frame, spark.read.parquet(f"{DATA}/labels.parquet")).filter("predicted = 0").join(frame, "doc_id").orderBy("doc_id").first()["text"]
+    at = 10**6
+    rows = [(None, good), (at + 7, other), (at + 7, bad), (at + 7, bad), (at + 8, None), (at + 9, ""), (at + 10, other + " end"), (at + 11, other)]
+    extra = frame.withColumn("id", F.lit(0)).withColumn("mark", F.lit(0)).withColumn("class", F.lit("x"))
+    filled = dict.fromkeys(extra.columns) | {"id": 0, "mark": 0, "class": "y"}
+    # beside the whole table, whose labels and languages are learnt from; its identifiers are others
+    docs_ = extra.unionByName(spark.createDataFrame([tuple((filled | {"doc_id": i, "text": t, "source": "added"}).values()) for i, t in rows], spark.createDataFrame([], extra.schema).schema))
+    now = docs_
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        now = stage(spark, now, DATA)
+    assert now.columns == extra.columns
+    now = spark.createDataFrame(now.filter("source = 'added'").collect(), docs_.schema)
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in now.collect())
+    assert left == sorted([(0, good), (at + 7, other), (at + 10, other + " end"), (at + 11, other)])
+    for _, stage in corpus_pipeline.STAGES[2:4]:
+        now = spark.createDataFrame(stage(spark, now, DATA).collect(), docs_.schema)
+        assert now.columns == extra.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in now.collect()) == sorted([(0, good), (at + 7, other)])
+    nothing = extra.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, DATA).count() == 0
+
+
+def test_numerals_are_no_letters(spark):
+    texts = [(i, "the and of this that") for i in range(30)] + [(100, "½ ² Ⅷ 12"), (101, "é"), (102, "漢")]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predicted(docs(spark, texts)).collect()}
+    assert got[100] == "und" and got[101] == got[102] == "en"
+
+
+def test_classifier_ties(spark):
+    """Repeated rows score alike, equal examples of both labels and identifiers with both labels don't disturb, and the order of rows doesn't matter."""
+    texts = [(i, f"alpha beta {'gamma' if i % 2 else 'delta'} word{i % 3}") for i in range(40)] + [(i % 40, f"alpha beta gamma word{i % 3}") for i in range(7)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)] + [(1, 0, 0), (2, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    for module in (quality, toxicity):
+        frame = docs(spark, texts)
+        got = sorted((r["doc_id"], r["score"]) for r in module.scored(frame, labels).collect())
+        again = sorted((r["doc_id"], r["score"]) for r in module.scored(frame.orderBy(F.desc("text")).repartition(5), labels).collect())
+        assert got == again and len(got) == 47
+        by_text = collections.defaultdict(set)
+        for r in module.scored(frame, labels).join(frame.select("doc_id", "text").distinct(), "doc_id").filter("doc_id > 6").collect():
+            by_text[r["text"]].add(r["score"])
+        assert all(len(v) == 1 for v in by_text.values())
