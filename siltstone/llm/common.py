@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import operator
 import pickle
@@ -45,6 +46,24 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow, after which the worker gives its free memory back: workers live on beside the stages that run in the JVM."""
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(released, schema)
+
+
+def release_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -213,7 +232,7 @@ def model_of(sample: DataFrame, order: list[str], fit: Callable[[Iterator[pa.Rec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(batches), 5)], pa.binary())], names=["model"])
 
-    made = sample.repartition(1).sortWithinPartitions(*order).mapInArrow(run, "model binary").collect()
+    made = in_arrow(sample.repartition(1).sortWithinPartitions(*order), run, "model binary").collect()
     return sample.sparkSession.sparkContext.broadcast(bytes(made[0]["model"]) if made else pickle.dumps(empty(), 5))
 
 

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import likely, model_of, parallelism, staged, table
+from .common import in_arrow, likely, model_of, parallelism, staged, table
 from .components import components
 
 LEAST_PIVOTS, MOST_PIVOTS = 64, 4096
@@ -246,7 +246,7 @@ def embedding_groups(
     spark = vectors.sparkSession
     kind = np.float32 if dict(vectors.dtypes)[vector_column] == "array<float>" else np.float64  # as they travel; products are of doubles
     named = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("string").alias("label"), F.col(vector_column).cast("array<double>").alias("vector"))
-    valid = named.filter("label IS NOT NULL").mapInArrow(_valid(kind), _VALID)
+    valid = in_arrow(named.filter("label IS NOT NULL"), _valid(kind), _VALID)
     keyed = staged(valid.withColumn("hash_a", F.xxhash64("vector")).withColumn("hash_b", F.xxhash64(F.lit(7), "vector")), "vectors")
     content = ["label", "dimension", "hash_a", "hash_b"]
     counted = keyed.groupBy(*content).agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
@@ -261,9 +261,9 @@ def embedding_groups(
     first = classes.filter(likely(F.col("hash_a"), SAMPLE * pivots, largest[1] or 0)).orderBy("hash_a", "hash_b", "label").limit(SAMPLE * pivots)
     shared = model_of(first.select("dimension", "vector", "hash_a"), ["dimension", "hash_a", "vector"], _pivots(pivots, kind), dict)
     own = classes.select(F.col("class").alias("id"), "label", "vector", "dimension", "copies")
-    described = staged(own.mapInArrow(_describe(shared, pivots, kind), _DESCRIBED), "described")
+    described = staged(in_arrow(own, _describe(shared, pivots, kind), _DESCRIBED), "described")
 
-    lists = described.select("id", "label", "dimension", "nearest").mapInArrow(_lists(depth), "label string, dimension int, list long, id long")
+    lists = in_arrow(described.select("id", "label", "dimension", "nearest"), _lists(depth), "label string, dimension int, list long, id long")
     key = ["label", "dimension", "list"]
     sizes = lists.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     members = lists.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
@@ -272,7 +272,7 @@ def embedding_groups(
     full = paired.join(described.select("id", "vector", "copies", "nearest"), "id")
     group = [*key, "first", "second"]
     dealt = full.repartition(parallelism(spark), *group).sortWithinPartitions(*group)
-    found = staged(dealt.mapInArrow(_compare(threshold, depth, kind), _FOUND), "found")
+    found = staged(in_arrow(dealt, _compare(threshold, depth, kind), _FOUND), "found")
 
     links = found.groupBy(F.col("id").alias("class")).agg(F.sum("links").alias("links"))
     reached = components(found.filter("id <> other").select(F.col("id").alias("u"), F.col("other").alias("v"))).withColumnRenamed("id", "class")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, as_bytes, parallelism, slices, table
+from .common import SPACES, as_bytes, in_arrow, parallelism, slices, table
 
 TRIE_BYTES = 48 << 20
 _NODE_BYTES = 300
@@ -198,9 +198,9 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def owners(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per distinct normalised text: size, digest, points, row (the owner's id), rows."""
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    local = texts.mapInArrow(_local_owners, _OWNERS)
+    local = in_arrow(texts, _local_owners, _OWNERS)
     dealt = local.repartition(parallelism(docs.sparkSession), "size", F.xxhash64("digest"))
-    partial = dealt.mapInArrow(_merged_owners, _OWNERS)
+    partial = in_arrow(dealt, _merged_owners, _OWNERS)
     best = F.min(F.struct((-F.col("points")).alias("less"), F.col("row").isNull().alias("unnamed"), "row")).alias("best")
     return partial.groupBy("size", "digest").agg(best, F.sum("rows").alias("rows")).select("size", "digest", (-F.col("best.less")).alias("points"), F.col("best.row").alias("row"), "rows")
 
@@ -208,7 +208,7 @@ def owners(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per input row: id_column, keep_id, group_size, kept, text_sha256. The owner has the most code points, then the smallest id."""
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    keys = texts.mapInArrow(_keys, _KEYED)
+    keys = in_arrow(texts, _keys, _KEYED)
     # joined by the hex digest, not by the aggregation's own keys: so the join has exchanges of its own, of which the
     # optimizer can split the one that a large group of copies makes uneven
     sha = F.lower(F.hex("digest")).alias("text_sha256")
@@ -219,12 +219,12 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 def kept_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs that own their text, all columns as they were. Of rows that repeat an owner's id and text, one stays."""
-    held = owners(docs, id_column, text_column).select("row", F.lower(F.hex("digest")).alias("held"), "points").alias("owner")
-    text = F.col(f"docs.{text_column}")
-    same = F.col(f"docs.{id_column}").cast("long").eqNullSafe(F.col("owner.row")) & (sha256_of(text) == F.col("owner.held")) & (F.length(F.coalesce(text, F.lit(""))) == F.col("owner.points"))
-    kept = docs.alias("docs").join(held, same, "left_semi")
-    rows = F.struct(*[F.col(c) for c in docs.columns])
-    return kept.select(rows.alias("row"), F.col(id_column).alias("id"), sha256_of(F.col(text_column)).alias("digest")).dropDuplicates(["id", "digest"]).select("row.*")
+    # nulls in a struct are equal, and rows that the join has dealt by the struct are not dealt again
+    held = owners(docs, id_column, text_column).select(F.struct(F.col("row").alias("id"), F.lower(F.hex("digest")).alias("digest"), "points").alias("key"))
+    text = F.col(text_column)
+    key = F.struct(F.col(id_column).cast("long").alias("id"), sha256_of(text).alias("digest"), F.length(F.coalesce(text, F.lit(""))).alias("points"))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), key.alias("key"))
+    return rows.join(held, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def sha256_of(text: Column) -> Column:

@@ -26,7 +26,7 @@ import regex as re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fold, in_pieces, likely, model_of, slices, table
+from .common import as_bytes, fold, in_arrow, in_pieces, likely, model_of, slices, table
 
 LENGTHS = (3, 4, 5)
 #: Training texts of a language.
@@ -249,13 +249,13 @@ def predicted(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     """One row per input row: id_column, held_out, lang_pred, score."""
     filters = fitted(docs, id_column, text_column, label_column, parts, held_out)
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    out = texts.mapInArrow(_predict(filters), _OUT).withColumnRenamed("id", id_column)
+    out = in_arrow(texts, _predict(filters), _OUT).withColumnRenamed("id", id_column)
     return out.select(id_column, (fold(id_column, parts) == held_out).alias("held_out"), "lang_pred", "score")
 
 
 def accepted_rows(docs: DataFrame, least: float, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang") -> DataFrame:
     """The rows of docs whose language is told with a score of least or more, with their columns; decided row by row, whatever the identifiers."""
-    return docs.mapInArrow(_accept(fitted(docs, id_column, text_column, label_column), text_column, least), docs.schema)
+    return in_arrow(docs, _accept(fitted(docs, id_column, text_column, label_column), text_column, least), docs.schema)
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

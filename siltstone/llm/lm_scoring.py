@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, hashed_words, mix, parallelism, table
+from .common import as_bytes, hashed_words, in_arrow, mix, parallelism, table
 
 ORDER, CUTOFF, ALPHA = 2, 2, 0.4
 CHUNK_BYTES, RANGE_BYTES = 8 << 20, 8 << 20
@@ -188,8 +188,8 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     held = texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
     chunks, ranges, partitions = held // CHUNK_BYTES + 1, held // RANGE_BYTES + 1, parallelism(spark)
     dealt = texts.withColumn("chunk", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(chunks))).repartition(partitions, "chunk")
-    blocks = dealt.sortWithinPartitions("chunk").mapInArrow(_count(order, ranges), _BLOCKS)
-    totals = blocks.repartition(partitions, "hash_range").sortWithinPartitions("hash_range").mapInArrow(_add, _TOTALS)
+    blocks = in_arrow(dealt.sortWithinPartitions("chunk"), _count(order, ranges), _BLOCKS)
+    totals = in_arrow(blocks.repartition(partitions, "hash_range").sortWithinPartitions("hash_range"), _add, _TOTALS)
     out = dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(_score(order, cutoff, alpha), _SCORED)
     mean = F.when(F.col("n_words") > 0, F.col("log_prob_micro") / 1e6 / F.col("n_words"))
     return out.select(F.col("id").alias(id_column), "n_words", "log_prob_micro", "n_backoff", mean.alias("mean_log_prob"))

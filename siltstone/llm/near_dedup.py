@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, hashed_words, mix, parallelism, slices, staged, table, windows
+from .common import as_bytes, hashed_words, in_arrow, mix, parallelism, slices, staged, table, windows
 from .components import components
 
 SHINGLE = 5
@@ -355,16 +355,16 @@ class _Linker:
         a = self.sides.select(F.col("id").alias("a"), F.col("registers").alias("registers_a"), F.col("n_shingles").alias("size_a"))
         b = self.sides.select(F.col("id").alias("b"), F.col("registers").alias("registers_b"), F.col("n_shingles").alias("size_b"))
         both = pairs.join(a, "a").join(b, "b").filter(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * self.percent)
-        return both.mapInArrow(_may_link(self.percent / 100), "a long, b long")
+        return in_arrow(both, _may_link(self.percent / 100), "a long, b long")
 
     def united(self, lists: DataFrame, placed: DataFrame) -> DataFrame:
         """Of lists of pairs, the links that unite components."""
         columns = [F.col(c.split()[0]).cast(c.split(" ", 1)[1]) for c in _VERIFY.split(", ")]
         met = lists.select("x", "y", F.explode("ids").alias("id")).distinct()
-        sets = self.texts.join(met.select("id").distinct(), "id").select("id", "text").mapInArrow(_sets(self.shingle), "id long, hashes binary")
+        sets = in_arrow(self.texts.join(met.select("id").distinct(), "id").select("id", "text"), _sets(self.shingle), "id long, hashes binary")
         rows = met.join(sets, "id").join(placed, "id").unionByName(lists.drop("ids"), allowMissingColumns=True).select(*columns)
         dealt = rows.repartition(self.partitions, "x", "y").sortWithinPartitions("x", "y")
-        return dealt.mapInArrow(_united(self.percent), "u long, v long")
+        return in_arrow(dealt, _united(self.percent), "u long, v long")
 
     def links(self, pairs: DataFrame, tag: str) -> DataFrame:
         """a: leader, b: member. A leader of many is dealt to several tasks, each with its text."""
@@ -375,7 +375,7 @@ class _Linker:
         wanted = salted.unionByName(leads)
         rows = wanted.join(self.texts, "id").select("leader", "salt", "id", "text")
         dealt = rows.repartition(self.partitions, "leader", "salt").sortWithinPartitions("leader", "salt", F.col("id") != F.col("leader"))
-        return staged(dealt.mapInArrow(_confirm(self.shingle, self.percent), "u long, v long"), f"{tag}-links")
+        return staged(in_arrow(dealt, _confirm(self.shingle, self.percent), "u long, v long"), f"{tag}-links")
 
 
 _CONTENT = ["set_a", "set_b", "n_shingles"]
@@ -388,7 +388,7 @@ def _marked(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 def _classes(docs: DataFrame, id_column: str, text_column: str, percent: int, shingle: int) -> tuple[DataFrame, DataFrame]:
     """(sketches: id, mark, the set; classes: the set, head (id and mark of a row of it), component)"""
     texts = _marked(docs, id_column, text_column)
-    sketches = staged(texts.mapInArrow(_sketch(shingle), _SKETCH), "sketches")
+    sketches = staged(in_arrow(texts, _sketch(shingle), _SKETCH), "sketches")
     sets = sketches.filter("n_shingles > 0").groupBy(*_CONTENT).agg(F.min(_head()).alias("head"))
     sets = staged(sets.withColumn("class", F.monotonically_increasing_id()), "sets")
     heads = sets.select(F.col("class"), *_CONTENT, F.col("head.id").alias("head_id"), F.col("head.mark").alias("mark"))
@@ -430,7 +430,7 @@ def _classes(docs: DataFrame, id_column: str, text_column: str, percent: int, sh
     paired = paired.select("key", F.least("own", "with").alias("first"), F.greatest("own", "with").alias("second"), "own", "id")
     full = paired.join(homes, "id").select(*[c.split()[0] for c in _CROSS.split(", ")])
     dealt = full.repartition(linker.partitions, "key", "first", "second").sortWithinPartitions("key", "first", "second")
-    lists = staged(dealt.mapInArrow(_across(percent / 100), _LISTS), "lists")
+    lists = staged(in_arrow(dealt, _across(percent / 100), _LISTS), "lists")
     crossing = staged(linker.united(lists, homes.select("id", "component")), "crossing")
     found = components(named.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(crossing))
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, staged, table
+from .common import in_arrow, slices, staged, table
 
 WINDOW = 2048
 END_ID = 1
@@ -262,18 +262,18 @@ def packed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = tokenizer or default_tokenizer()
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
-    pieces = staged(texts.mapInArrow(_cut(path, window, end_id), _PIECES), "pieces")
+    pieces = staged(in_arrow(texts, _cut(path, window, end_id), _PIECES), "pieces")
     by_part = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_part.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     # at most `window` rows, whatever the input
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    placed = pieces.join(offsets, ["length", "part"]).mapInArrow(_place(solved(counts, window), window), _PLACED)
+    placed = in_arrow(pieces.join(offsets, ["length", "part"]), _place(solved(counts, window), window), _PLACED)
     whole = placed.filter("cut = 0").drop("cut", "mark")
     crossing = placed.filter("cut > 0")
     cut_docs = crossing.select("doc_id", "mark").distinct()
     again = texts.join(cut_docs, ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"])
-    recut = crossing.join(again, ["doc_id", "mark"]).mapInArrow(_recut(path, end_id), _FINAL)
+    recut = in_arrow(crossing.join(again, ["doc_id", "mark"]), _recut(path, end_id), _FINAL)
     return whole.select(*[c.split()[0] for c in _FINAL.split(", ")]).unionByName(recut)
 
 

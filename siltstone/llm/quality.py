@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _IS_SPACE, Copies, Spans, as_bytes, fold, labelled_sample, model_of, monotone, slices, table
+from .common import _IS_SPACE, Copies, Spans, as_bytes, fold, in_arrow, labelled_sample, model_of, monotone, slices, table
 from .toxicity import labelled_rows
 
 #: Labelled texts of each label, at most.
@@ -39,7 +39,7 @@ THRESHOLD = 0.3
 PARTS, HELD_OUT = 5, 0
 #: An event is a term for each of these shares of the words that it exceeds.
 _LEAST = (0.1, 0.2, 0.3, 0.4, 0.5, 0.7)
-_BLOCK = 1024
+_BLOCK = 256
 _PUNCTUATION = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
 _U = np.uint64
 
@@ -194,13 +194,13 @@ def scored(
     """One row per input row: id_column, held_out, score, predicted."""
     shared = fitted(docs, labels, id_column, text_column, label_column, parts, held_out)
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    out = texts.mapInArrow(_score(shared), "id long, score double").withColumnRenamed("id", id_column)
+    out = in_arrow(texts, _score(shared), "id long, score double").withColumnRenamed("id", id_column)
     return out.select(id_column, (fold(id_column, parts) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted_rows(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score threshold at least, with their columns; decided row by row, whatever the identifiers."""
-    return docs.mapInArrow(_accept(fitted(docs, labels, id_column, text_column, label_column), text_column, threshold), docs.schema)
+    return in_arrow(docs, _accept(fitted(docs, labels, id_column, text_column, label_column), text_column, threshold), docs.schema)
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:

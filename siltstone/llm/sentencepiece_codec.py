@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import in_arrow, slices, table
 
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -273,19 +273,19 @@ def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 def encoded(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", model: str | None = None) -> DataFrame:
     """id_column, ids array<int>"""
-    return _texts(docs, id_column, text_column).mapInArrow(_encode(model or default_model()), "id long, ids array<int>").withColumnRenamed("id", id_column)
+    return in_arrow(_texts(docs, id_column, text_column), _encode(model or default_model()), "id long, ids array<int>").withColumnRenamed("id", id_column)
 
 
 def decoded(rows: DataFrame, id_column: str = "doc_id", ids_column: str = "ids", model: str | None = None) -> DataFrame:
     """id_column, text"""
     ids = rows.select(F.col(id_column).cast("long").alias("id"), F.col(ids_column).cast("array<int>").alias("ids"))
-    return ids.mapInArrow(_decode(model or default_model()), "id long, text string").withColumnRenamed("id", id_column)
+    return in_arrow(ids, _decode(model or default_model()), "id long, text string").withColumnRenamed("id", id_column)
 
 
 def coded(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", model: str | None = None) -> DataFrame:
     """id_column, n_tokens, ids_crc32 (of little-endian 32-bit ids), round_trip (decoding gives the text again; the mark itself reads as a space), ids."""
     schema = "id long, n_tokens long, ids_crc32 long, round_trip boolean, ids array<int>"
-    return _texts(docs, id_column, text_column).mapInArrow(_both(model or default_model()), schema).withColumnRenamed("id", id_column)
+    return in_arrow(_texts(docs, id_column, text_column), _both(model or default_model()), schema).withColumnRenamed("id", id_column)
 
 
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:

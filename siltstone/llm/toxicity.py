@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Copies, Lookup, Spans, as_bytes, fold, labelled_sample, model_of, monotone, slices, table
+from .common import Copies, Lookup, Spans, as_bytes, fold, in_arrow, labelled_sample, model_of, monotone, slices, table
 
 EXAMPLES = 2048
 PREFIX = 5
@@ -260,7 +260,7 @@ def scored(
     sample = labelled_sample(docs, labels, label_column, EXAMPLES, id_column, text_column, parts, held_out)
     shared = model_of(sample, ["label", "id"], lambda batches: NearestExamples(labelled_rows(batches)), lambda: NearestExamples(iter(())))
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    out = texts.mapInArrow(_score(shared), "id long, score double, evidence array<long>").withColumnRenamed("id", id_column)
+    out = in_arrow(texts, _score(shared), "id long, score double, evidence array<long>").withColumnRenamed("id", id_column)
     return out.select(id_column, (fold(id_column, parts) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
 
 
