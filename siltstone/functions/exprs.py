@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,12 +56,34 @@ def copy_score(path: Column) -> Column:
     return F.when(name_of(path).rlike(rf"(?iU){COPY_MARK}\.[^.]+(?=\n?\z)"), 1).otherwise(0)
 
 
+@functools.cache
+def _folds() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """(lower-case characters that fold to one other, those others, (character, text) of those that fold to several), from the Unicode data of this Python."""
+    one: dict[str, str] = {}
+    several: dict[str, str] = {}
+    for c in map(chr, range(0x110000)):
+        low, fold = c.lower(), c.casefold()
+        if low != fold and len(low) == 1:
+            (one if len(fold) == 1 else several)[low] = fold
+    return "".join(one), "".join(one.values()), tuple(several.items())
+
+
+def folded(text: Column) -> Column:
+    """Full case folding, so that texts which differ in case alone are equal: lower case, and the characters whose folding is another."""
+    singles, targets, several = _folds()
+    low = F.translate(F.lower(text), singles, targets)
+    spelled = low
+    for c, fold in several:
+        spelled = F.replace(spelled, F.lit(c), F.lit(fold))
+    return F.when(low.rlike("[" + "".join(c for c, _ in several) + "]"), spelled).otherwise(low)
+
+
 def plain_name(path: Column) -> Column:
-    """The lower-cased name without a copy mark."""
+    """The case-folded name without a copy mark."""
     name = name_of(path)
     extension = extension_of(name)
     stem = F.substring(name, F.lit(1), F.length(name) - F.length(extension))
-    return F.lower(F.concat(F.regexp_replace(stem, rf"(?iU){COPY_MARK}(?=\n?\z)", ""), extension))
+    return folded(F.concat(F.regexp_replace(stem, rf"(?iU){COPY_MARK}(?=\n?\z)", ""), extension))
 
 
 def glob_pattern(glob: str) -> str:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import copy_score, extension_of, glob_match, name_of, parent_of, plain_name, risk_of_rank, risk_rank, within
+from ..functions.exprs import copy_score, extension_of, folded, glob_match, name_of, parent_of, plain_name, risk_of_rank, risk_rank, within
 
 #: Words in a parent folder that rule automatic clean-up out, as substrings.
 BLOCKED = [
@@ -42,7 +42,7 @@ def cleanup_groups(files: DataFrame, risk: str | None = None) -> DataFrame:
 
 def with_cluster(files: DataFrame) -> DataFrame:
     path = F.col("path")
-    return files.withColumn("parent", parent_of(path)).withColumn("plain", plain_name(path)).withColumn("copy_score", copy_score(path)).withColumn("extension", F.lower(extension_of(name_of(path))))
+    return files.withColumn("parent", parent_of(path)).withColumn("plain", plain_name(path)).withColumn("copy_score", copy_score(path)).withColumn("extension", folded(extension_of(name_of(path))))
 
 
 def clusters(files: DataFrame, risk: str | None = None, blocked: Sequence[str] = BLOCKED) -> DataFrame:
@@ -50,7 +50,7 @@ def clusters(files: DataFrame, risk: str | None = None, blocked: Sequence[str] =
     groups = cleanup_groups(files, risk)
     rows = with_cluster(candidates(files).join(groups.select("cleanup_group_number", *CONTENT, "group_risk"), CONTENT))
     pattern = "|".join("\\Q" + b + "\\E" for b in blocked)
-    open_ = rows.filter(~F.lower("parent").rlike(pattern)) if pattern else rows
+    open_ = rows.filter(~folded(F.col("parent")).rlike(pattern)) if pattern else rows
     made = open_.groupBy("cleanup_group_number", "group_risk", *CLUSTER).agg(
         F.count("*").alias("members"),
         F.count_distinct("device", "inode").alias("physical_copies"),
@@ -73,15 +73,15 @@ def chosen_groups(found: DataFrame, include: Sequence[int] = (), exclude: Sequen
     return out.filter(~number.isin(list(exclude))) if exclude else out
 
 
-def _first_glob(path: Column, globs: Sequence[str]) -> Column:
-    out = F.lit(len(globs))
-    for i, glob in reversed(list(enumerate(globs))):
-        out = F.when(glob_match(path, glob), i).otherwise(out)
+def _first_parent(path: Column, parents: Sequence[str]) -> Column:
+    out = F.lit(len(parents))
+    for i, parent in reversed(list(enumerate(parents))):
+        out = F.when(within(path, F.lit(parent)), i).otherwise(out)
     return out
 
 
 def keepers(files: DataFrame, found: DataFrame, protect: Sequence[str] = (), keep: Sequence[str] = (), delete: Sequence[str] = (), whole: bool = False) -> DataFrame:
-    """Members of clusters (or of whole groups), ranked: protected, then kept by preference, then not preferred for deletion, then plain names, then short, then the path."""
+    """Members of clusters (or of whole groups), ranked: protected, then by the first folder of `keep` that holds them, then those that no glob of `delete` matches, then plain names, then short, then the path."""
     rows = with_cluster(candidates(files))
     if whole:
         rows = rows.withColumn("parent", F.lit("")).withColumn("plain", F.lit(""))
@@ -93,7 +93,7 @@ def keepers(files: DataFrame, found: DataFrame, protect: Sequence[str] = (), kee
     unwanted = F.lit(False)
     for g in delete:
         unwanted = unwanted | glob_match(path, g)
-    order = [F.when(protected, 0).otherwise(1), _first_glob(path, keep), F.when(unwanted, 1).otherwise(0), F.col("copy_score"), F.length(path), path, F.col("id")]
+    order = [F.when(protected, 0).otherwise(1), _first_parent(path, keep), F.when(unwanted, 1).otherwise(0), F.col("copy_score"), F.length(path), path, F.col("id")]
     ranked = members.withColumn("protected", protected).withColumn("place", F.row_number().over(Window.partitionBy("cleanup_group_number", *CLUSTER).orderBy(*order)))
     return ranked
 
@@ -104,7 +104,8 @@ def paired(ranked: DataFrame) -> DataFrame:
     keeper = ranked.filter("place = 1").select(*cluster, F.col("id").alias("keeper_id"), F.col("path").alias("keeper_path"), F.col("device").alias("keeper_device"), F.col("inode").alias("keeper_inode"))
     rest = ranked.join(keeper, cluster).filter("NOT (device = keeper_device AND inode = keeper_inode)")
     first = rest.withColumn("n", F.row_number().over(Window.partitionBy(*cluster, "device", "inode").orderBy("path", "id"))).filter("n = 1 AND NOT protected")
-    return first.select("cleanup_group_number", "group_risk", *CONTENT, "keeper_id", "keeper_path", F.col("id").alias("candidate_id"), F.col("path").alias("candidate_path"))
+    reason = F.col("classification_reason") if "classification_reason" in ranked.columns else F.lit("").alias("classification_reason")
+    return first.select("cleanup_group_number", "group_risk", *CONTENT, "keeper_id", "keeper_path", F.col("id").alias("candidate_id"), F.col("path").alias("candidate_path"), reason)
 
 
 def proposals(ranked: DataFrame) -> DataFrame:
@@ -118,7 +119,7 @@ REASONS = {"automatic": ("yes", "same-folder-obvious-numbered-copy"), "all": ("n
 def manifest(proposed: DataFrame, eligibility: str = "automatic") -> DataFrame:
     automatic, reason = REASONS[eligibility]
     return proposed.select(
-        F.col("cleanup_group_number").alias("group_number"), "group_risk", F.lit(automatic).alias("automatic_cleanup_eligible"), F.lit(reason).alias("eligibility_reason"), *CONTENT, "keeper_path", "candidate_path"
+        F.col("cleanup_group_number").alias("group_number"), "group_risk", F.lit(automatic).alias("automatic_cleanup_eligible"), F.lit(reason).alias("eligibility_reason"), *CONTENT, "keeper_path", "candidate_path", "classification_reason"
     )
 
 

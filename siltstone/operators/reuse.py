@@ -49,7 +49,13 @@ def hard_links(files: DataFrame) -> DataFrame:
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], version: str = "seen_generation") -> DataFrame:
-    """The latest row of each key; of equal versions the new one."""
+    """The latest row of each key; of equal versions the new one, then the greatest."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    order = Window.partitionBy(*keys).orderBy(F.desc(version), F.desc("_new"))
-    return both.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_new")
+    row = F.struct(*[c for c in old.columns])
+    return both.groupBy(*keys).agg(F.max(F.struct(version, "_new", row.alias("row"))).alias("best")).select("best.row.*")
+
+
+def assembled(reused: DataFrame, hashed: DataFrame, generation: int) -> DataFrame:
+    """Rows of a snapshot: reused ones, which read no bytes in this scan, and those hashed now, all seen in this generation."""
+    again = reused.withColumn("status", F.lit("reused")).withColumn("bytes_read", F.lit(0).cast("long")).withColumn("elapsed_seconds", F.lit(0.0))
+    return again.unionByName(hashed, allowMissingColumns=True).withColumn("seen_generation", F.lit(generation))

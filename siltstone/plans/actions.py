@@ -16,10 +16,11 @@ import shutil
 import stat
 import uuid
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import UTC, datetime
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +69,8 @@ class CleanupPolicy:
             if self.token != TOKEN:
                 raise ValueError("the confirmation token does not match; nothing was deleted")
         hasher(self.algorithm)
-        return self
+        real = lambda paths: tuple(os.path.realpath(os.path.expanduser(p)) for p in paths)
+        return replace(self, protect=real(self.protect), keep=real(self.keep))
 
 
 def planned(files: DataFrame, policy: CleanupPolicy) -> DataFrame:
@@ -158,7 +160,9 @@ def _acted(action: str, quarantine: str | None):
             if os.path.lexists(source):
                 os.unlink(source)
                 return "deleted", "", ""
-            return "deleted", "", "was gone when a task was tried again"
+            if TaskContext.get().attemptNumber():
+                return "deleted", "", "was gone when a task was tried again"
+            return "missing", "", "was gone before it could be deleted"
         except OSError as e:
             return "failed", "", f"{type(e).__name__}: {e}"
 
@@ -185,7 +189,7 @@ def totals(actions: DataFrame) -> DataFrame:
     result, done = F.col("action_result"), F.col("action_result").isin("deleted", "quarantined")
     return actions.agg(
         F.count("*").alias("processed_files"), F.count_if(result == "deleted").alias("deleted_files"), F.count_if(result == "quarantined").alias("quarantined_files"),
-        F.count_if(result == "skipped").alias("skipped_files"), F.count_if(result == "failed").alias("failed_files"),
+        F.count_if(result.isin("skipped", "missing")).alias("skipped_files"), F.count_if(result == "failed").alias("failed_files"),
         F.coalesce(F.sum(F.when(done, F.col("size_bytes"))), F.lit(0)).cast("long").alias("reclaimed_bytes"),
     )
 

@@ -61,6 +61,58 @@ grp AS (
 )"""
 
 
+def report_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory with the columns that reports show."""
+    n, null = F.col("id"), F.lit(None).cast("long")
+    return inventory(spark, sf_dir).withColumns(
+        {
+            "mtime_ns": n * 1_000_000, "ctime_ns": F.when(n % 5 == 0, null).otherwise(n * 1_000_000_000), "sample_digest": F.substring("digest", 1, 16), "algorithm": F.lit("sha256"), "error": F.lit(""),
+            "bytes_read": F.col("size_bytes"), "elapsed_seconds": n / 8, "management_class": F.lit("user-managed"), "classification_confidence": F.lit("medium"),
+            "classification_reason": F.concat(F.lit("rule "), (n % 3).cast("string")), "reused_from_file_id": F.when(n % 9 == 0, n - 1),
+        }
+    )
+
+
+def report_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory(spark, sf_dir).select("root_id").distinct().withColumn("root", F.concat(F.lit("/src"), F.col("root_id").cast("string")))
+
+
+_ISO = "strftime(make_timestamp({0}), '%Y-%m-%dT%H:%M:%S') || CASE WHEN {0} % 1000000 <> 0 THEN '.' || lpad(CAST({0} % 1000000 AS VARCHAR), 6, '0') ELSE '' END || '+00:00'"
+#: The report columns of a file, over inv.
+REPORT = f"""'/src' || CAST(root_id AS VARCHAR) AS root, path, lower(hex(path)) AS path_bytes_hex, allocated_bytes AS allocated_size_bytes, device, inode, {_ISO.format("(id * 1000)")} AS mtime_utc,
+  CASE WHEN id % 5 = 0 THEN '' ELSE {_ISO.format("(id * 1000000)")} END AS ctime_utc, 'user-managed' AS management_class, 'medium' AS classification_confidence, 'rule ' || CAST(id % 3 AS VARCHAR) AS classification_reason, cleanup_risk"""
+
+
+def keeper_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of a text in several folders, of which one's name begins as another's."""
+    files = cleanup_inventory(spark, sf_dir)
+    folder = F.get(F.array(*[F.lit(f"/data/{x}") for x in FOLDERS]), (F.col("id") % len(FOLDERS)).cast("int"))
+    name = F.concat(F.lit("d"), F.substring("digest", 1, 8), F.when(F.col("id") % 2 == 0, F.concat(F.lit(" ("), F.col("id").cast("string"), F.lit(")"))).otherwise(F.concat(F.lit("-"), F.col("id").cast("string"))), F.lit(".txt"))
+    return files.withColumn("path", F.concat(folder, F.lit("/"), name))
+
+
+FOLDERS = ["a", "ab", "b", "c", "d"]
+#: What the query of keepers protects, keeps and would rather delete.
+LISTS = {"protect": ["/data/c"], "keep": ["/data/b/", "/data/a"], "delete": ["d/*", "d*-?7.txt"]}
+KEEPERS = f"""
+WITH d AS (SELECT doc_id AS id, sha256(text) AS digest, CAST(strlen(text) AS BIGINT) AS size_bytes, CASE WHEN doc_id % 17 = 0 THEN 3 ELSE 1 END AS r FROM documents),
+f AS (SELECT *, '/data/' || ['{"', '".join(FOLDERS)}'][id % {len(FOLDERS)} + 1] AS folder, id % 2 = 0 AS marked, 'd' || substr(digest, 1, 8) || CASE WHEN id % 2 = 0 THEN ' (' || id || ')' ELSE '-' || id END || '.txt' AS name FROM d),
+g AS (SELECT row_number() OVER (ORDER BY digest, size_bytes) AS cleanup_group_number, digest, size_bytes, max(r) AS r FROM f GROUP BY digest, size_bytes HAVING count(*) >= 2),
+k AS (
+  SELECT cleanup_group_number, folder || '/' || name AS path, id, row_number() OVER (PARTITION BY cleanup_group_number ORDER BY folder <> '/data/c', CASE folder WHEN '/data/b' THEN 0 WHEN '/data/a' THEN 1 ELSE 2 END,
+    folder = '/data/d' OR regexp_matches(name, '^d[^/]*-[^/]7[.]txt$'), marked, length(folder || '/' || name), folder || '/' || name, id) AS place
+  FROM f JOIN g USING (digest, size_bytes) WHERE g.r < 3
+)
+SELECT cleanup_group_number, path, id, place FROM k"""
+
+
+#: Names that differ in case, in marks, or in characters that fold to others, and their plain names.
+NAMES = [
+    ("STRASSE.TXT", "strasse.txt"), ("Stra\u00dfe (2).txt", "strasse.txt"), ("\ufb01le copy.TXT", "file.txt"), ("\u039f\u0394\u039f\u03a3.txt", "\u03bf\u03b4\u03bf\u03c3.txt"),
+    ("\u03bf\u03b4\u03bf\u03c2 (1).txt", "\u03bf\u03b4\u03bf\u03c3.txt"), ("\u0149a.txt", "\u02bcna.txt"), ("a copy 3.txt", "a.txt"), ("\u017f.txt", "s.txt"),
+]
+
+
 def cleanup_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of a text share a folder, with copy marks in their names."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.octet_length("text").cast("long").alias("size_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))

@@ -11,6 +11,7 @@ from ..functions import exprs
 from ..operators import classify, cleanup, duplicates, pathaudit, reuse, scope
 from ..sources import hashing
 from . import adapters as A
+from . import reports
 
 #: Limits low enough that the rules for names fire.
 LOW = pathaudit.PathPolicy(warning=60, office=120, hard=200, filename=12, directory=15)
@@ -49,6 +50,11 @@ def _classified(spark, d):
     return A.placed_paths(spark, d).select("id", "relative_path", classify.management(F.col("relative_path")).alias("m")).select("id", "relative_path", "m.management_class", "m.confidence", "m.cleanup_risk")
 
 
+def _paired(spark, d):
+    files = A.cleanup_inventory(spark, d).withColumn("classification_reason", F.concat(F.lit("rule "), (F.col("id") % 3).cast("string")))
+    return cleanup.paired(cleanup.keepers(files, cleanup.clusters(files, "low")))
+
+
 def _proposals(spark, d):
     files = A.cleanup_inventory(spark, d)
     return cleanup.proposals(cleanup.keepers(files, cleanup.clusters(files, "low")))
@@ -64,6 +70,23 @@ def _keepers(spark, d):
     return cleanup.keepers(files, cleanup.clusters(files, "low")).filter("place = 1").select("cleanup_group_number", "path", "id")
 
 
+def _keeper_lists(spark, d):
+    files = A.keeper_inventory(spark, d)
+    return cleanup.keepers(files, cleanup.whole_groups(files, "low"), whole=True, **A.LISTS).select("cleanup_group_number", "path", "id", "place")
+
+
+def _plain_names(spark, d):
+    name = F.get(F.array(*[F.lit(n) for n, _ in A.NAMES]), (F.col("doc_id") % len(A.NAMES)).cast("int"))
+    path = F.concat(F.lit("/data/"), name)
+    return A.table(spark, d, "documents").select("doc_id", exprs.plain_name(path).alias("plain"), exprs.copy_score(path).alias("copy_score"))
+
+
+def _path_report(spark, d):
+    items = A.path_items(spark, d).withColumn("root_id", F.lit(1))
+    found = pathaudit.findings(pathaudit.audited(items))
+    return reports.path_findings(found, items, spark.createDataFrame([(1, "/r")], "root_id int, root string"), "scan", pathaudit.PathPolicy()).drop("id")
+
+
 def _resume(spark, d):
     now, before = A.generations(spark, d)
     held, todo = reuse.resumed(now, before)
@@ -126,7 +149,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cleanup_proposals": _proposals,
         "cleanup_proposals_all": _whole_proposals,
         "cleanup_chosen_groups": lambda s, d: cleanup.chosen_groups(cleanup.cleanup_groups(A.cleanup_inventory(s, d)), [2, 3, 5, 8], [3]),
-        "cleanup_manifest": lambda s, d: cleanup.manifest(_proposals(s, d)),
+        "cleanup_manifest": lambda s, d: cleanup.manifest(_paired(s, d)),
+        "cleanup_keeper_lists": _keeper_lists,
+        "plain_names": _plain_names,
+        "report_all_files": lambda s, d: reports.all_files(A.report_inventory(s, d), A.report_roots(s, d), "scan").drop("id"),
+        "report_duplicates": lambda s, d: reports.duplicate_paths(A.report_inventory(s, d), A.report_roots(s, d), "sha256").drop("id"),
+        "report_path_findings": _path_report,
         "cleanup_estimate": lambda s, d: cleanup.estimate(_proposals(s, d)),
         "incremental_reuse": lambda s, d: reuse.incremental(*A.generations(s, d)).select("path", "action", "reused_digest"),
         "resume_sweep": _resume,
@@ -185,7 +213,18 @@ def oracle_sql() -> dict[str, str]:
   FROM f JOIN n USING (digest, size_bytes) WHERE n.group_risk = 'low')
 SELECT a.cleanup_group_number, a.group_risk, a.digest, a.size_bytes, b.path AS keeper_path, a.path AS candidate_path, a.id FROM ka a JOIN ka b ON a.cleanup_group_number = b.cleanup_group_number AND b.place = 1 WHERE a.place > 1""",
         "cleanup_chosen_groups": A.CLEANUP + " SELECT * FROM n WHERE cleanup_group_number IN (2, 5, 8)",
-        "cleanup_manifest": A.CLEANUP + " SELECT cleanup_group_number AS group_number, group_risk, 'yes' AS automatic_cleanup_eligible, 'same-folder-obvious-numbered-copy' AS eligibility_reason, digest, size_bytes, keeper_path, candidate_path FROM pr",
+        "cleanup_manifest": A.CLEANUP + " SELECT cleanup_group_number AS group_number, group_risk, 'yes' AS automatic_cleanup_eligible, 'same-folder-obvious-numbered-copy' AS eligibility_reason, digest, size_bytes, keeper_path, candidate_path, 'rule ' || CAST(id % 3 AS VARCHAR) AS classification_reason FROM pr",
+        "cleanup_keeper_lists": A.KEEPERS,
+        "plain_names": "SELECT doc_id, [" + ", ".join(f"'{x}'" for _, x in A.NAMES) + f"][doc_id % {len(A.NAMES)} + 1] AS plain, CAST(doc_id % {len(A.NAMES)} IN (1, 2, 4, 6) AS INTEGER) AS copy_score FROM documents",
+        "report_all_files": A.PLAIN + f""" SELECT 'scan' AS scan_id, size_bytes AS apparent_size_bytes, CASE WHEN allocated_bytes < size_bytes THEN 'yes' ELSE 'no' END AS sparse, digest AS hash, substr(digest, 1, 16) AS sample_hash, 'sha256' AS algorithm,
+  'ok' AS status, '' AS error, size_bytes AS logical_bytes_read, printf('%.6f', id / 8.0::DOUBLE) AS elapsed_seconds, CASE WHEN id % 9 = 0 THEN id - 1 END AS reused_from_file_id, {A.REPORT} FROM inv""",
+        "report_duplicates": A.PLAIN + A.GROUPS + f""" SELECT group_number AS duplicate_group, CASE WHEN physical_copy_count = 1 THEN 'hardlink_aliases' ELSE 'physical_duplicates' END AS group_kind,
+  CASE WHEN physical_copy_count = 1 OR size_bytes = 0 THEN 'no' ELSE 'review' END AS cleanup_candidate, 'sha256' AS algorithm, digest AS hash, size_bytes AS apparent_size_bytes, path_count, physical_copy_count, logical_duplicate_bytes,
+  total_allocated_bytes AS total_unique_allocated_bytes, reclaimable_min_bytes AS estimated_reclaimable_min_bytes, reclaimable_max_bytes AS estimated_reclaimable_max_bytes, CASE WHEN contains_sparse > 0 THEN 'yes' ELSE 'no' END AS contains_sparse_file,
+  CASE WHEN physical_copy_count = 1 THEN 'yes' ELSE 'no' END AS same_physical_file_only, group_risk AS group_cleanup_risk, {A.REPORT} FROM inv JOIN grp USING (digest, size_bytes)""",
+        "report_path_findings": A.path_audit_sql() + """ SELECT 'scan' AS scan_id, severity, issue_codes, item_type, '/r' AS root, relative_path AS relative_windows_path, '/r/' || relative_path AS scanned_path, lower(hex('/r/' || relative_path)) AS path_bytes_hex,
+  projected_chars AS actual_scanned_path_chars, projected_chars - 3 AS relative_path_chars, 0 AS windows_prefix_length, projected_chars AS projected_windows_path_chars, 200 AS path_warning_chars, 240 AS office_path_limit, 259 AS hard_path_limit,
+  name_chars, 100 AS filename_limit, longest_directory_name, longest_directory_chars, 100 AS directory_name_limit, over_hard_limit AS characters_over_hard_limit, recommendation FROM chk WHERE severity <> 'none'""",
         "cleanup_estimate": A.CLEANUP + " SELECT count(*) AS candidates, coalesce(sum(size_bytes), 0)::BIGINT AS estimated_bytes, count(DISTINCT cleanup_group_number) AS groups FROM pr",
         "incremental_reuse": A.GENERATIONS + " SELECT cur.path, CASE WHEN ok.path IS NULL THEN 'hash' ELSE 'reused' END AS action, ok.digest AS reused_digest FROM cur LEFT JOIN ok ON cur.path = ok.path",
         "resume_sweep": A.GENERATIONS + " SELECT CASE WHEN ok.path IS NULL THEN 'hash' ELSE 'kept' END AS action, count(*) AS n FROM cur LEFT JOIN ok ON cur.path = ok.path GROUP BY ALL",

@@ -26,6 +26,7 @@ def read_snapshot(spark: SparkSession, path: str, scan_id: str) -> DataFrame:
     return spark.read.option("basePath", path).option("mergeSchema", "true").parquet(f"{path}/scan_id={scan_id}")
 
 
-def write_report(rows: DataFrame, path: str, order: list[str]) -> None:
-    """One sorted CSV file, in a folder with a _SUCCESS marker. Line breaks inside values should be escaped first (exprs.display), as paths are."""
-    rows.orderBy(*order).coalesce(1).write.mode("overwrite").options(**CSV).csv(path)
+def write_report(rows: DataFrame, path: str, order: list, drop: tuple[str, ...] = (), single: bool = True) -> None:
+    """One sorted CSV file, or, if not single, files that are sorted when read by name, in a folder with a _SUCCESS marker. Columns of `drop` only sort. Line breaks inside values should be escaped first (exprs.display), as paths are."""
+    ordered = rows.orderBy(*order).drop(*drop)
+    (ordered.coalesce(1) if single else ordered).write.mode("overwrite").options(**CSV).csv(path)

@@ -13,9 +13,8 @@ def upsert_stream(rows: DataFrame, path: str, checkpoint: str, keys: list[str])
 
     def batch(new: DataFrame, number: int) -> None:
         spark = new.sparkSession
-        latest = new.dropDuplicates(keys)
-        if number:
-            latest = upserted(spark.read.parquet(f"{path}/version={number - 1}"), latest, keys)
+        before = spark.read.parquet(f"{path}/version={number - 1}") if number else new.limit(0)
+        latest = upserted(before, new, keys)  # of several rows of a key in one batch, too, the latest
         latest.write.mode("overwrite").parquet(f"{path}/version={number}")
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

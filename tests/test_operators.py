@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import exprs
-from siltstone.operators import cleanup, duplicates, reuse
+from siltstone.operators import cleanup, duplicates, pathaudit, reuse, scope
 from siltstone.plans import store
 from siltstone.sources import hashing, inventory
 
@@ -186,3 +186,75 @@ def test_inventory_keeps_nulls(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert got == set(con.sql(f"{adapters.PLAIN} SELECT id, inode, digest FROM inv").fetchall()) and len(got) == 6
+
+
+def test_keep_is_a_folder(spark):
+    """A folder to keep is taken by components, not as a glob; the order of folders counts."""
+    rows = [(i, p, "x", 5, 1, i, 5, "low", "ok") for i, p in enumerate(["/m/a.txt", "/m/keep/a.txt", "/m/keeper/a.txt", "/m/last/a.txt"], 1)]
+    files = spark.createDataFrame(rows, FILES)
+    ranked = cleanup.keepers(files, cleanup.whole_groups(files), keep=["/m/keep", "/m/last"], whole=True)
+    assert [r["path"] for r in ranked.orderBy("place").collect()] == ["/m/keep/a.txt", "/m/last/a.txt", "/m/a.txt", "/m/keeper/a.txt"]
+    assert {r["candidate_path"] for r in cleanup.proposals(ranked).collect()} == {"/m/a.txt", "/m/keeper/a.txt", "/m/last/a.txt"}
+
+
+def test_folding(spark):
+    texts = [f"A{c}b" for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and (c.lower() != c or c.casefold() != c)] + ["ΑΣ", "Σ", "İI", "ﬃ ß ẞ"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", exprs.folded(F.col("t")).alias("f")).collect()
+    assert [(r["t"], r["f"]) for r in got if r["f"] != r["t"].casefold()] == []
+
+
+@pytest.mark.parametrize("inline", [1000, 0])
+def test_longest_prefix(spark, monkeypatch, inline):
+    """Repeated rows, nulls and paths that nothing covers stay, whichever way the prefixes are met."""
+    monkeypatch.setattr(scope, "INLINE", inline)
+    rows = [(1, "/a/b/c", None), (1, "/a/b/c", None), (2, "/ab", 1), (None, "/x", None), (3, "/a", 2), (4, None, 2)]
+    paths = spark.createDataFrame(rows, "id long, path string, device long")
+    found = scope.owned_by_root(paths, spark.createDataFrame([("/a", 1), ("/a/b", 2)], "root string, root_id long"))
+    assert sorted((r["path"] or "", r["id"] or 0, r["root_id"]) for r in found.collect()) == [("", 4, None), ("/a", 3, 1), ("/a/b/c", 1, 2), ("/a/b/c", 1, 2), ("/ab", 2, None), ("/x", 0, None)]
+    mounts = spark.createDataFrame([(1, "/", "ext4", "/dev/a"), (2, "/a", "xfs", None)], "device long, mount_point string, filesystem_type string, mount_source string")
+    got = sorted((r["path"] or "", r["mount_point"] or "", r["filesystem_type"], r["mount_source"]) for r in scope.mounted(paths, mounts).collect())
+    assert got == [("", "", "unknown", "unknown"), ("/a", "/a", "xfs", "unknown"), *[("/a/b/c", "/a/b/c", "unknown", "unknown")] * 2, ("/ab", "/", "ext4", "/dev/a"), ("/x", "/x", "unknown", "unknown")]
+    assert scope.owned_by_root(paths, spark.createDataFrame([], "root string, root_id long")).count() == 6
+
+
+def test_scan_life_cycle(spark, tmp_path):
+    from siltstone.plans import lifecycle
+
+    catalog, root = f"{tmp_path}/catalog", tmp_path / "tree"
+    root.mkdir()
+    options = lifecycle.ScanOptions([str(root)], audit_paths=True)
+    scan_id = lifecycle.begin_scan(spark, catalog, options)
+    assert [(r["root"], r["root_id"]) for r in lifecycle.roots(spark, catalog, scan_id).collect()] == [(str(root), 1)]
+    lifecycle.set_state(spark, catalog, scan_id, "interrupted", "signal\n2")
+    row = lifecycle.scans(spark, catalog).collect()
+    assert [(r["state"], r["reason"], r["generation"]) for r in row] == [("interrupted", "signal\\n2", 1)]
+    with pytest.raises(ValueError):
+        lifecycle.resume_scan(spark, catalog, lifecycle.ScanOptions([str(root)]))
+    assert lifecycle.resume_scan(spark, catalog, options) == (scan_id, 2)
+    lifecycle.set_state(spark, catalog, scan_id, "completed")
+    done = scope.latest_scan(lifecycle.scans(spark, catalog), "completed", "sha256").collect()
+    assert [(r["scan_id"], r["generation"]) for r in done] == [(scan_id, 2)]
+    with pytest.raises(ValueError):
+        lifecycle.resume_scan(spark, catalog, options)
+    assert len(options.payload()) == 16 and len(options.payload(legacy=True)) == 8
+    assert len(lifecycle.accepted_fingerprints(options, 2)) == 2 and len(lifecycle.accepted_fingerprints(options, 3)) == 1
+    for wrong in ({"roots": []}, {"empty_files": "x"}, {"chunk_mib": 0}, {"audit_only": True, "audit_paths": False}, {"policy": pathaudit.PathPolicy(warning=300)}):
+        with pytest.raises(ValueError):
+            lifecycle.ScanOptions(**({"roots": ["/"]} | wrong)).checked()
+    assert lifecycle.mount_of("/mnt/x", os.makedev(8, 1), [("8:1", "/", "ext4", "/dev/a"), ("8:1", "/mnt", "xfs", "/dev/b"), ("8:2", "/mnt/x", "xfs", "/dev/c")], {"/dev/b": "u-1"}) == ("/mnt", "xfs", "/dev/b", "u-1")
+    files = spark.createDataFrame([("ok", 8, 2.0), ("error", 0, 0.0), ("reused", 0, 0.0)], "status string, bytes_read long, elapsed_seconds double")
+    assert lifecycle.held_rows(files) == 2 and lifecycle.throughput(files).first()["bytes_per_second"] == 4.0
+    uuids = spark.createDataFrame([("/dev/b", "u-1")], "mount_source string, filesystem_uuid string")
+    held = scope.with_disk_uuid(spark.createDataFrame([("/a", "/dev/b"), ("/c", "unknown")], "path string, mount_source string"), uuids)
+    assert {(r["path"], r["filesystem_uuid"]) for r in held.collect()} == {("/a", "u-1"), ("/c", "")}
+
+
+def test_statuses_and_snapshot(spark):
+    from siltstone.operators import duplicates as d
+
+    kinds = ["ok", "ok", "reused", "empty", "empty_reported", "changed", "cancelled", "error", "error", "error"]
+    row = d.status_counters(spark.createDataFrame([(k,) for k in kinds], "status string")).first()
+    assert (row["examined"], row["hashed"], row["reused"], row["empty"], row["changed"], row["cancelled"], row["errors"]) == (10, 2, 1, 2, 1, 1, 3)
+    kept = spark.createDataFrame([("/a", "x", "ok", 5)], "path string, digest string, status string, bytes_read long")
+    new = spark.createDataFrame([("/b", "y", "ok", 7)], "path string, digest string, status string, bytes_read long")
+    assert {tuple(r) for r in reuse.assembled(kept, new, 3).select("path", "status", "bytes_read", "seen_generation").collect()} == {("/a", "reused", 0, 3), ("/b", "ok", 7, 3)}
