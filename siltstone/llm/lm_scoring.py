@@ -4,7 +4,7 @@ Words are maximal runs between ASCII spaces, A-Z lower-cased. The score of a wor
 count(context word) / count(context) if the n-gram was seen CUTOFF times at least, else ALPHA times the score after the
 context without its first word; a single word's is count(word) / count of all words (the count of the empty n-gram).
 
-Documents are dealt to chunks of a bounded number of bytes by a hash. A chunk's n-grams are counted locally, and its
+Documents are dealt to chunks of a bounded number of bytes by a hash of identifier and text; they travel many to a row, compressed together. A chunk's n-grams are counted locally, and its
 distinct 64-bit n-gram hashes leave in blocks by hash range: a block is many rows (hash, count) of the count table in
 one. A hash range's blocks from all chunks meet in one task, which adds the counts up and joins the totals back to each
 block, in the block's own order. The totals go back to their chunk, where the documents' n-grams look them up and each
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, hashed_words, in_arrow, mix, parallelism, table
 
-ORDER, CUTOFF, ALPHA = 2, 2, 0.4
+ORDER, CUTOFF, ALPHA = 3, 2, 0.4
 CHUNK_BYTES, RANGE_BYTES = 8 << 20, 8 << 20
 _U = np.uint64
 _EMPTY = _U(0x5851F42D4C957F2D)
@@ -62,16 +62,44 @@ def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return ((hashes >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
 
 
-def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes | None]]]:
+_BUNDLES = "chunk long, ids array<long>, sizes array<int>, texts binary, raw long"
+
+
+def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of each chunk in a batch, joined and compressed, in one row."""
+    for batch in batches:
+        chunks = batch.column("chunk").to_numpy()
+        order = np.argsort(chunks, kind="stable")
+        cuts = np.flatnonzero(np.concatenate(([True], chunks[order][1:] != chunks[order][:-1], [True]))) if len(order) else np.zeros(1, np.int64)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            rows = batch.take(pa.array(order[a:b]))
+            texts = [t or b"" for t in as_bytes(rows.column("text"))]
+            joined = b"".join(texts)
+            held = [[int(chunks[order[a]])], [rows.column("id").to_pylist()], [[len(t) for t in texts]], [pa.compress(joined, "zstd", asbytes=True) if joined else b""], [len(joined)]]
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(held, kinds, strict=True)], names=[c.split()[0] for c in _BUNDLES.split(", ")])
+
+
+def _texts(sizes: list[list[int]], blobs: list[bytes], raw: list[int]) -> list[bytes]:
+    out = []
+    for lengths, blob, size in zip(sizes, blobs, raw, strict=True):
+        joined, at = pa.decompress(blob, size, "zstd", asbytes=True) if size else b"", 0
+        for n in lengths:
+            out.append(joined[at : at + n])
+            at += n
+    return out
+
+
+def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
     """Texts of each chunk; rows must be sorted by chunk."""
     last, held = None, []
     for batch in batches:
-        for chunk, text in zip(batch.column("chunk").to_pylist(), as_bytes(batch.column("text")), strict=True):
+        for chunk, *bundle in zip(*(batch.column(c).to_pylist() for c in ("chunk", "sizes", "texts", "raw")), strict=True):
             if chunk != last:
                 if held:
                     yield last, held
                 last, held = chunk, []
-            held.append(text)
+            held += _texts(*([x] for x in bundle))
     if held:
         yield last, held
 
@@ -170,13 +198,14 @@ _SCORED = "id long, n_words long, log_prob_micro long, n_backoff long"
 
 def _score(order: int, cutoff: int, alpha: float):
     def run(docs: pa.Table, blocks: pa.Table) -> pa.Table:
-        out, inside, at = grams(as_bytes(docs.column("text").combine_chunks()), order)
+        out, inside, at = grams(_texts(*(docs.column(c).to_pylist() for c in ("sizes", "texts", "raw"))), order)
         _, position, _ = _distinct(out, inside)
         ordered = sorted(zip(blocks.column("hash_range").to_pylist(), blocks.column("totals").to_pylist(), strict=True))
         totals = np.concatenate([_values(t, np.int64) for _, t in ordered])
         logs, less = backoff(totals, out, inside, position, cutoff, alpha)
         sums = [np.concatenate(([0], np.cumsum(x)))[at] for x in (logs, less.astype(np.int64))]
-        return pa.table({"id": docs.column("id"), "n_words": np.diff(at), "log_prob_micro": np.diff(sums[0]), "n_backoff": np.diff(sums[1])})
+        ids = pa.array([i for part in docs.column("ids").to_pylist() for i in part], pa.int64())
+        return pa.table({"id": ids, "n_words": np.diff(at), "log_prob_micro": np.diff(sums[0]), "n_backoff": np.diff(sums[1])})
 
     return run
 
@@ -187,7 +216,8 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     held = texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
     chunks, ranges, partitions = held // CHUNK_BYTES + 1, held // RANGE_BYTES + 1, parallelism(spark)
-    dealt = texts.withColumn("chunk", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(chunks))).repartition(partitions, "chunk")
+    bundles = in_arrow(texts.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks))), _bundle, _BUNDLES)
+    dealt = bundles.repartition(partitions, "chunk")
     blocks = in_arrow(dealt.sortWithinPartitions("chunk"), _count(order, ranges), _BLOCKS)
     totals = in_arrow(blocks.repartition(partitions, "hash_range").sortWithinPartitions("hash_range"), _add, _TOTALS)
     out = dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(_score(order, cutoff, alpha), _SCORED)
@@ -202,13 +232,15 @@ def op10_lm_scoring(spark, sf_dir: str) -> DataFrame:
 SQL = f"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents),
 t AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
-p AS (SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM t),
-c1 AS (SELECT w, count(*) AS n FROM p GROUP BY w), c2 AS (SELECT before, w, count(*) AS n FROM p WHERE before IS NOT NULL GROUP BY before, w),
+p AS (SELECT doc_id, w, lag(w) OVER o AS b1, lag(w, 2) OVER o AS b2 FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+c1 AS (SELECT w, count(*) AS n FROM p GROUP BY w), c2 AS (SELECT b1, w, count(*) AS n FROM p WHERE b1 IS NOT NULL GROUP BY b1, w), c3 AS (SELECT b2, b1, w, count(*) AS n FROM p WHERE b2 IS NOT NULL GROUP BY b2, b1, w),
+one AS (SELECT w, n / (SELECT sum(n)::DOUBLE FROM c1) AS score FROM c1),
+two AS (SELECT c2.b1, c2.w, c2.n, CASE WHEN c2.n >= {CUTOFF} THEN c2.n / c1.n ELSE {ALPHA}::DOUBLE * one.score END AS score FROM c2 JOIN c1 ON c1.w = c2.b1 JOIN one ON one.w = c2.w),
 s AS (
-  SELECT doc_id, p.before IS NOT NULL AND c2.n < {CUTOFF} AS less,
-         CASE WHEN p.before IS NULL THEN a.n / (SELECT sum(n)::DOUBLE FROM c1) WHEN c2.n >= {CUTOFF} THEN c2.n / b.n ELSE {ALPHA}::DOUBLE * (a.n / (SELECT sum(n)::DOUBLE FROM c1)) END AS score
-  FROM p JOIN c1 a ON p.w = a.w LEFT JOIN c2 ON p.before = c2.before AND p.w = c2.w LEFT JOIN c1 b ON b.w = p.before
-), g AS (SELECT doc_id, count(*) AS n_words, sum(round(ln(score::DOUBLE) * 1000000.0)::BIGINT)::BIGINT AS log_prob_micro, count_if(less)::BIGINT AS n_backoff FROM s GROUP BY doc_id)
+  SELECT doc_id, CASE WHEN p.b2 IS NOT NULL THEN c3.n < {CUTOFF} WHEN p.b1 IS NOT NULL THEN two.n < {CUTOFF} ELSE false END AS less3,
+         CASE WHEN p.b1 IS NULL THEN one.score WHEN p.b2 IS NULL THEN two.score WHEN c3.n >= {CUTOFF} THEN c3.n / before.n ELSE {ALPHA}::DOUBLE * two.score END AS score
+  FROM p JOIN one ON p.w = one.w LEFT JOIN two ON p.b1 = two.b1 AND p.w = two.w LEFT JOIN c3 ON p.b2 = c3.b2 AND p.b1 = c3.b1 AND p.w = c3.w LEFT JOIN c2 before ON before.b1 = p.b2 AND before.w = p.b1
+), g AS (SELECT doc_id, count(*) AS n_words, sum(round(ln(score::DOUBLE) * 1000000.0)::BIGINT)::BIGINT AS log_prob_micro, count_if(less3)::BIGINT AS n_backoff FROM s GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(log_prob_micro, 0) AS log_prob_micro, coalesce(n_backoff, 0) AS n_backoff,
        log_prob_micro::DOUBLE / 1000000.0::DOUBLE / n_words AS mean_log_prob
 FROM d LEFT JOIN g USING (doc_id)
