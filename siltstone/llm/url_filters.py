@@ -2,7 +2,7 @@
 
 A rule is a host, a path prefix and a verdict. It fits a URL whose host is the rule's or a subdomain of it and whose
 path starts with the rule's path. Each distinct (host, path) is expanded into host suffix + path prefix expressions:
-every suffix at a label boundary, and the path's prefix at each length that a rule of the table has. Expressions meet
+the suffixes with as many labels as some rule's host has, and the path's prefix at each length that a rule of the table has. Expressions meet
 the rules in an equi-join on the first four bytes of their SHA-256; the full digests are then compared, and the
 longest rule wins (of equal length: block before allow, then the smaller text). A URL that no rule fits gets the
 default verdict.
@@ -45,12 +45,14 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^?#]*)", 1)
 
 
-def _expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    labels = F.split(host, r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
+def _expressions(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
+    """Host suffixes with as many labels as some rule's host, each with path prefixes as long as some rule's path."""
+    suffixes = F.array(*[F.substring_index(host, ".", -n) for n in labels])
+    has = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    fitting_hosts = F.filter(F.arrays_zip(F.array(*[F.lit(n) for n in labels]).alias("n"), suffixes.alias("suffix")), lambda x: x["n"] <= has)
     fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path))
     prefixes = F.transform(fitting, lambda n: F.substring(path, F.lit(1), n))
-    return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
+    return F.flatten(F.transform(fitting_hosts, lambda s: F.transform(prefixes, lambda p: F.concat(s["suffix"], p))))
 
 
 def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -60,7 +62,10 @@ def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataF
 def judged(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", url_column: str = "url", default: str = DEFAULT) -> DataFrame:
     """One row per page: id_column, host, path, rule (host and path of the rule that won, or null), verdict."""
     # as many lengths as the rules have different ones: never more than a URL has characters
-    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect() if r[0] is not None)
+    used = rules.filter(F.col("host").isNotNull() & F.col("path").isNotNull())
+    lengths = sorted(r[0] for r in used.select(F.length("path")).distinct().collect())
+    # and as many label counts: never more than a host has labels
+    labels = sorted(r[0] for r in used.select(F.size(F.split("host", r"\.", -1))).distinct().collect())
     listed = (
         rules.filter(F.col("host").isNotNull() & F.col("path").isNotNull())
         .select(F.concat("host", "path").alias("rule"), "verdict")
@@ -71,7 +76,7 @@ def judged(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", url_c
     if not lengths:
         return placed.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
     each = placed.select("host", "path").distinct().filter(F.col("host") != "")
-    spread = each.select("host", "path", F.explode(_expressions(F.col("host"), F.col("path"), lengths)).alias("expression"))
+    spread = each.select("host", "path", F.explode(_expressions(F.col("host"), F.col("path"), labels, lengths)).alias("expression"))
     hashed = spread.withColumn("digest", F.sha2(F.col("expression").cast("binary"), 256)).withColumn("prefix", F.substring("digest", 1, 2 * PREFIX_BYTES))
     met = hashed.join(listed, "prefix").filter(F.col("digest") == F.col("rule_digest"))
     order = F.struct(F.length("rule").alias("length"), (F.col("rule_verdict") == "block").alias("block"), "rule", "rule_verdict")

@@ -225,6 +225,9 @@ def test_urls(spark):
         ("a.example.org", "/es/x", "example.org/es/", "block"), ("example.org", "", None, "allow"), ("x.com", "/de/1", "com/de/", "block"), ("org", "/", "org/", "allow"),
         ("borg", "/", None, "allow"), ("example.org", "/en/1", "example.org/en/1", "block"), ("example.org", "/en/1", "example.org/en/1", "block"),
     ]
+    long = spark.createDataFrame([(1, "http://" + "a." * 20000 + "org/x"), (2, "http://" + "x." * 20000 + "org./x"), (3, "http://.org/x")], "page_id long, url string")
+    assert [r["rule"] for r in url_filters.judged(long, url_filters.rules_table(spark, url_filters.RULES)).orderBy("page_id").collect()] == ["org/", None, "org/"]
+    assert url_filters.judged(frame.limit(0), url_filters.rules_table(spark, url_filters.RULES)).count() == 0
     assert url_filters.judged(frame.limit(0), url_filters.rules_table(spark, [])).count() == 0
 
 
@@ -410,7 +413,13 @@ def test_lm_brute_force(spark):
 
     for i, w in words:
         want = sum(int(np.rint(np.log(score(w[max(0, k - 2) : k], x)) * 1e6)) for k, x in enumerate(w))
-        assert abs(got[(i, len(w))]["log_prob_micro"] - want) <= len(w)
+        row = got[(i, len(w))]
+        assert abs(row["log_prob_micro"] - want) <= len(w)
+        assert row["n_backoff"] == sum(counts[tuple(w[max(0, k - 2) : k + 1])] < 2 for k in range(1, len(w)))
+        assert row["mean_log_prob"] == (pytest.approx(row["log_prob_micro"] / 1e6 / len(w)) if w else None)
+    assert lm_scoring.scored(docs(spark, EDGE).limit(0)).count() == 0
+    many = lm_scoring.scored(docs(spark, [(None, "a b a b")] * 50 + [(1, None)])).collect()
+    assert len(many) == 51 and {r["n_words"] for r in many} == {0, 4}
 
 
 def test_pipeline(spark):
