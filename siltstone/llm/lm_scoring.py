@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, hashed_words, in_arrow, mix, parallelism, table
+from .common import as_bytes, hashed_words, in_arrow, mix, parallelism, release_memory, table
 
 ORDER, CUTOFF, ALPHA = 3, 2, 0.4
 CHUNK_BYTES, RANGE_BYTES = 8 << 20, 8 << 20
+#: Chunks or ranges to a task, so that tasks stay of one size on large inputs.
+TASK_CHUNKS = 16
 _U = np.uint64
 _EMPTY = _U(0x5851F42D4C957F2D)
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -49,12 +51,29 @@ def grams(texts: list[bytes | None], order: int) -> tuple[list[np.ndarray], list
     return out, inside, at
 
 
-def _distinct(out: list[np.ndarray], inside: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct hashes with the empty n-gram's, position of each n-gram among them, counts)"""
-    all_ = np.concatenate([*(h[ok] for h, ok in zip(out, inside, strict=True)), [_EMPTY]])
-    known, position, counts = np.unique(all_, return_inverse=True, return_counts=True)
-    counts[position[-1]] = len(out[0])
-    return known, position, counts
+def _all(out: list[np.ndarray], inside: list[np.ndarray]) -> np.ndarray:
+    """All n-grams' hashes, the empty n-gram's last."""
+    return np.concatenate([*(h[ok] for h, ok in zip(out, inside, strict=True)), [_EMPTY]])
+
+
+def _distinct(all_: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct hashes, counts; the empty n-gram's is the number of words). Sorts all_ in place."""
+    all_.sort()
+    at = np.flatnonzero(np.concatenate(([True], all_[1:] != all_[:-1], [True])))
+    known, counts = all_[at[:-1]], np.diff(at)
+    counts[np.searchsorted(known, _EMPTY)] = words
+    return known, counts
+
+
+def _positions(all_: np.ndarray) -> np.ndarray:
+    """Position of each hash among the sorted distinct ones."""
+    order = np.argsort(all_)
+    all_ = all_[order]
+    rank = np.zeros(len(all_), np.int32)
+    np.cumsum(all_[1:] != all_[:-1], out=rank[1:])
+    position = np.empty(len(all_), np.int32)
+    position[order] = rank
+    return position
 
 
 def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
@@ -105,43 +124,44 @@ def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[byt
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """64-bit values byte plane by byte plane: the high planes are nearly constant, which the shuffle's compression takes out."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
+    """64-bit values byte plane by byte plane, compressed: the high planes are nearly constant and the lowest plane of counts has few values. Blocks stay so in the JVM and in the shuffle."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
 
 
-def _values(planes: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(kind).ravel()
+def _values(planes: bytes, size: int, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(planes, 8 * size, "zstd", asbytes=True), np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
 def _sorted_planes(hashes: np.ndarray) -> bytes:
     return _planes(np.diff(hashes, prepend=_U(0)))
 
 
-def _sorted_values(planes: bytes) -> np.ndarray:
+def _sorted_values(planes: bytes, size: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return np.cumsum(_values(planes, _U), dtype=_U)
+        return np.cumsum(_values(planes, size, _U), dtype=_U)
 
 
-_BLOCKS = "chunk long, hash_range long, hashes binary, counts binary"
-_TOTALS = "chunk long, hash_range long, totals binary"
+_BLOCKS = "chunk long, hash_range long, size int, hashes binary, counts binary"
+_TOTALS = "chunk long, hash_range long, size int, totals binary"
 
 
 def _count(order: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, texts in _by_chunk(batches):
             out, inside, _ = grams(texts, order)
-            known, _, counts = _distinct(out, inside)
-            counts = counts.astype(np.int64)
+            known, counts = _distinct(_all(out, inside), len(out[0]))
+            del out, inside
             of = _range_of(known, ranges)
             cuts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True])))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(cuts) - 1, chunk, np.int64)),
                     pa.array(of[cuts[:-1]]),
+                    pa.array(np.diff(cuts), pa.int32()),
                     pa.array([_sorted_planes(known[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
                     pa.array([_planes(counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
                 ],
-                names=["chunk", "hash_range", "hashes", "counts"],
+                names=["chunk", "hash_range", "size", "hashes", "counts"],
             )
 
     return run
@@ -150,20 +170,25 @@ def _count(order: int, ranges: int):
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by range: adds the counts of a range's blocks and gives each block its totals."""
 
-    def added(range_: int, held: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-        sizes = [len(h) // 8 for _, h, _ in held]
-        known, position = np.unique(np.concatenate([_sorted_values(h) for _, h, _ in held]), return_inverse=True)
-        totals = np.zeros(len(known), np.int64)
-        np.add.at(totals, position, np.concatenate([_values(c, np.int64) for *_, c in held]))
+    def added(range_: int, held: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
+        sizes = [n for _, n, *_ in held]
         ends = np.cumsum(sizes)
+        hashes = np.empty(ends[-1], _U)
+        for end, (_, n, h, _) in zip(ends, held, strict=True):
+            hashes[end - n : end] = _sorted_values(h, n)
+        position = _positions(hashes)
+        del hashes
+        totals = np.zeros(int(position.max()) + 1, np.int64)
+        for end, (_, n, _, c) in zip(ends, held, strict=True):
+            totals[position[end - n : end]] += _values(c, n, np.int64)  # a block's hashes are distinct
         return pa.RecordBatch.from_arrays(
-            [pa.array([c for c, *_ in held], pa.int64()), pa.array([range_] * len(held), pa.int64()), pa.array([_planes(totals[position[e - n : e]]) for e, n in zip(ends, sizes, strict=True)], pa.binary())],
-            names=["chunk", "hash_range", "totals"],
+            [pa.array([c for c, *_ in held], pa.int64()), pa.array([range_] * len(held), pa.int64()), pa.array(sizes, pa.int32()), pa.array([_planes(totals[position[e - n : e]]) for e, n in zip(ends, sizes, strict=True)], pa.binary())],
+            names=["chunk", "hash_range", "size", "totals"],
         )
 
     last, held = None, []
     for batch in batches:
-        for range_, *block in zip(*(batch.column(c).to_pylist() for c in ("hash_range", "chunk", "hashes", "counts")), strict=True):
+        for range_, *block in zip(*(batch.column(c).to_pylist() for c in ("hash_range", "chunk", "size", "hashes", "counts")), strict=True):
             if range_ != last:
                 if held:
                     yield added(last, held)
@@ -173,7 +198,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield added(last, held)
 
 
-def backoff(totals: np.ndarray, out: list[np.ndarray], inside: list[np.ndarray], position: np.ndarray, cutoff: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+def backoff(totals: np.ndarray, inside: list[np.ndarray], position: np.ndarray, cutoff: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     """(log score of each word in millionths, whether it backed off)"""
     seen, at = [], 0
     for ok in inside:
@@ -184,7 +209,7 @@ def backoff(totals: np.ndarray, out: list[np.ndarray], inside: list[np.ndarray],
     every = totals[position[-1]]
     score = seen[0] / max(1, every)
     longest = np.zeros(len(inside[0]), np.int64)
-    for k in range(1, len(out)):
+    for k in range(1, len(inside)):
         context = np.concatenate(([0], seen[k - 1][:-1]))
         use = inside[k] & (seen[k] >= cutoff)
         score = np.where(use, seen[k] / np.maximum(context, 1), np.where(inside[k], alpha * score, score))
@@ -199,15 +224,22 @@ _SCORED = "id long, n_words long, log_prob_micro long, n_backoff long"
 def _score(order: int, cutoff: int, alpha: float):
     def run(docs: pa.Table, blocks: pa.Table) -> pa.Table:
         out, inside, at = grams(_texts(*(docs.column(c).to_pylist() for c in ("sizes", "texts", "raw"))), order)
-        _, position, _ = _distinct(out, inside)
-        ordered = sorted(zip(blocks.column("hash_range").to_pylist(), blocks.column("totals").to_pylist(), strict=True))
-        totals = np.concatenate([_values(t, np.int64) for _, t in ordered])
-        logs, less = backoff(totals, out, inside, position, cutoff, alpha)
+        position = _positions(_all(out, inside))
+        del out
+        ordered = sorted(zip(*(blocks.column(c).to_pylist() for c in ("hash_range", "size", "totals")), strict=True))
+        totals = np.concatenate([_values(t, n, np.int64) for _, n, t in ordered])
+        logs, less = backoff(totals, inside, position, cutoff, alpha)
         sums = [np.concatenate(([0], np.cumsum(x)))[at] for x in (logs, less.astype(np.int64))]
         ids = pa.array([i for part in docs.column("ids").to_pylist() for i in part], pa.int64())
         return pa.table({"id": ids, "n_words": np.diff(at), "log_prob_micro": np.diff(sums[0]), "n_backoff": np.diff(sums[1])})
 
-    return run
+    def released(docs: pa.Table, blocks: pa.Table) -> pa.Table:
+        try:
+            return run(docs, blocks)
+        finally:
+            release_memory()
+
+    return released
 
 
 def scored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", order: int = ORDER, cutoff: int = CUTOFF, alpha: float = ALPHA) -> DataFrame:
@@ -215,7 +247,8 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     spark = docs.sparkSession
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     held = texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
-    chunks, ranges, partitions = held // CHUNK_BYTES + 1, held // RANGE_BYTES + 1, parallelism(spark)
+    chunks, ranges = held // CHUNK_BYTES + 1, held // RANGE_BYTES + 1
+    partitions = max(parallelism(spark), chunks // TASK_CHUNKS + 1)
     bundles = in_arrow(texts.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks))), _bundle, _BUNDLES)
     dealt = bundles.repartition(partitions, "chunk")
     blocks = in_arrow(dealt.sortWithinPartitions("chunk"), _count(order, ranges), _BLOCKS)
