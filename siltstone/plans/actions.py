@@ -194,17 +194,17 @@ def totals(actions: DataFrame) -> DataFrame:
     )
 
 
-def run_cleanup(spark: SparkSession, files: DataFrame, policy: CleanupPolicy, folder: str) -> str:
+def run_cleanup(spark: SparkSession, files: DataFrame, policy: CleanupPolicy, folder: str, manifest: str | None = None) -> str:
     """Runs a policy on a scan's files (with path_raw and metadata) and returns the run's identifier.
 
-    Below `folder`, which the driver and all executors share: manifest/<run> (CSV) for every run; for runs that act also
+    Below `folder`, which the driver and all executors share: manifest/<run> (CSV; or `manifest` itself) for every run; for runs that act also
     verified/<run>, cleanup_actions/cleanup_run_id=<run> with a row per proposal and cleanup_runs/cleanup_run_id=<run>."""
     policy = policy.checked()
     began = datetime.now(UTC)
     run_id = f"{began:%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:8]}"
     planned(files, policy).write.parquet(f"{folder}/proposals/{run_id}")
     proposed = spark.read.parquet(f"{folder}/proposals/{run_id}")
-    write_report(cleanup.manifest(proposed, policy.eligibility), f"{folder}/manifest/{run_id}", ["group_number", "candidate_path"])
+    write_report(cleanup.manifest(proposed, policy.eligibility), manifest or f"{folder}/manifest/{run_id}", ["group_number", "candidate_path"])
     if policy.action == PREVIEW:
         return run_id
 

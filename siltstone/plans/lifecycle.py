@@ -60,8 +60,8 @@ class ScanOptions:
             raise ValueError("an audit alone needs the audit")
         if min(p.warning, p.office, p.hard, p.filename, p.directory) < 1 or p.prefix < 0:
             raise ValueError("limits of paths are positive")
-        if not p.warning <= p.office <= p.hard:
-            raise ValueError("the warning limit is at most the office limit, which is at most the hard limit")
+        if not p.warning < p.office <= p.hard:
+            raise ValueError("the warning limit is below the office limit, which is at most the hard limit")
         return self
 
     def payload(self, legacy: bool = False) -> dict[str, object]:

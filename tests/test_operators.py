@@ -1,3 +1,4 @@
+import hashlib
 import os
 
 import pytest
@@ -258,3 +259,81 @@ def test_statuses_and_snapshot(spark):
     kept = spark.createDataFrame([("/a", "x", "ok", 5)], "path string, digest string, status string, bytes_read long")
     new = spark.createDataFrame([("/b", "y", "ok", 7)], "path string, digest string, status string, bytes_read long")
     assert {tuple(r) for r in reuse.assembled(kept, new, 3).select("path", "status", "bytes_read", "seen_generation").collect()} == {("/a", "reused", 0, 3), ("/b", "ok", 7, 3)}
+
+
+def _report(folder):
+    import csv
+
+    lines = [line for p in sorted(folder.glob("part-*")) for line in p.read_text().splitlines()]
+    return list(csv.DictReader(lines))
+
+
+def test_scan_from_end_to_end(spark, tmp_path):
+    """First scan, a scan that reuses hashes, one after an interruption, and clean-up, by the command line."""
+    from siltstone import __main__ as command
+    from siltstone.plans import lifecycle, scan, store
+
+    tree, out = tmp_path / "tree", tmp_path / "out"
+    (tree / "sub" / ("d" * 120)).mkdir(parents=True)
+    for name, text in {"a.txt": "one", "a (1).txt": "one", "sub/b.bin": "two" * 50_000, "empty": ""}.items():
+        (tree / name).write_text(text)
+    os.link(tree / "a.txt", tree / "sub" / "hard.txt")
+    with open(os.fsencode(tree) + b"/\xff", "w") as f, open(tree / "\\udcff", "w") as g:  # shown alike
+        f.write("x")
+        g.write("y")
+    base = ["--root", str(tree), "--output-dir", str(out)]
+    assert command.main([*base, "--audit-paths"]) == 0
+    rows = _report(out / scan.ALL_FILES)
+    assert len(rows) == 7 and len(rows[0]) == 23
+    by = {bytes.fromhex(r["path_bytes_hex"])[len(str(tree)) + 1 :]: r for r in rows}
+    assert by[b"a.txt"]["hash"] == hashlib.sha256(b"one").hexdigest() and by[b"\xff"]["hash"] == hashlib.sha256(b"x").hexdigest() and by[b"\\udcff"]["hash"] == hashlib.sha256(b"y").hexdigest()
+    assert {k: r["status"] for k, r in by.items()} == {b"a.txt": "ok", b"a (1).txt": "ok", b"sub/b.bin": "ok", b"empty": "empty", b"sub/hard.txt": "reused", b"\xff": "ok", b"\\udcff": "ok"}
+    twice = _report(out / scan.DUPLICATES)
+    assert len(twice) == 3 and len(twice[0]) == 27 and {r["physical_copy_count"] for r in twice} == {"2"}
+    found = _report(out / scan.PATHS)
+    assert len(found) == 1 and len(found[0]) == 22 and found[0]["item_type"] == "directory"
+
+    # a file that was written again is hashed, what is unchanged is not
+    (tree / "sub" / "b.bin").write_text("2wo" + "two" * 49_999)
+    (tree / "new").write_text("new")
+    assert command.main([*base, "--incremental"]) == 0
+    by = {r["path"][len(str(tree)) + 1 :]: r for r in _report(out / scan.ALL_FILES) if "udcff" not in r["path"]}
+    assert {k: r["status"] for k, r in by.items()} == {"a.txt": "reused", "a (1).txt": "reused", "sub/hard.txt": "reused", "empty": "reused", "sub/b.bin": "ok", "new": "ok"}
+    assert not (out / scan.PATHS).exists() and not list((out / "catalog" / "parts").iterdir())
+
+    # an interrupted scan goes on after its last whole batch
+    options, catalog = command.options_of(command.parser().parse_args(base)), f"{out}/catalog"
+    hashed, calls = scan._hashed, []
+    try:
+        scan._hashed = lambda *a: calls.append(1) or (_ for _ in ()).throw(KeyboardInterrupt()) if calls else calls.append(1) or hashed(*a)
+        with pytest.raises(KeyboardInterrupt):
+            scan.run_scan(spark, catalog, options)
+    finally:
+        scan._hashed = hashed
+    (tree / "new").unlink()
+    (tree / "late").write_text("late")
+    assert command.main([*base, "--resume"]) == 0
+    last = scope.latest_scan(lifecycle.scans(spark, catalog), "completed").first()
+    rows = store.read_snapshot(spark, f"{catalog}/files", last["scan_id"]).collect()
+    assert last["generation"] == 2 and len(rows) == 8 == len({r["id"] for r in rows}) and {r["seen_generation"] for r in rows} == {2}
+    again = {r["path"].rsplit("/", 1)[1]: r["id"] >> 56 for r in rows}
+    assert again["late"] == 2 and again["b.bin"] == 1 and "new" not in again
+
+    assert command.main(["--cleanup", "--output-dir", str(out)]) == 0 and (tree / "a (1).txt").exists()
+    assert command.main(["--cleanup", "--output-dir", str(out), "--cleanup-action", "delete", "--confirmation-token", "x"]) == 2
+    assert command.main(["--cleanup", "--output-dir", str(out), "--cleanup-action", "quarantine", "--quarantine-dir", str(tmp_path / "q"), "--yes-noninteractive"]) == 0
+    assert not (tree / "a (1).txt").exists() and (tree / "a.txt").exists()
+
+
+@pytest.mark.parametrize(
+    "arguments",
+    [
+        "", "--cleanup --root /", "--cleanup --resume", "--root / --resume --incremental", "--root / --report-only --resume", "--root / --path-audit-only --incremental", "--root / --workers -1",
+        "--root / --retry-changed -1", "--root / --office-path-limit 200", "--root / --hard-path-limit 239", "--root / --chunk-size-mib 0", "--cleanup --cleanup-action quarantine",
+        "--cleanup --cleanup-action delete --no-full-verify", "--cleanup --cleanup-action delete --cleanup-risk critical", "--root / --progress-seconds 0", "--root / --filename-limit 0",
+    ],
+)
+def test_arguments_that_are_refused(arguments):
+    from siltstone import __main__ as command
+
+    assert command.main(arguments.split()) == 2
