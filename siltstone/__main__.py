@@ -12,6 +12,7 @@ import os
 import signal
 import sys
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
@@ -173,7 +174,9 @@ def main(arguments: Sequence[str] | None = None) -> int:
             last = latest_scan(lifecycle.scans(spark, catalog), "completed").collect()
             if not last:
                 raise ValueError("there is no completed scan")
-            scan_id = last[0]["scan_id"]
+            row = last[0]
+            scan_id = row["scan_id"]
+            options = replace(options, algorithm=row["algorithm"], audit_paths=row["path_audit_enabled"], audit_only=row["path_audit_only"])
             scan.write_reports(spark, catalog, scan_id, options, output)
         else:
             scan_id = scan.run_scan(spark, catalog, options, output, a.resume, a.incremental, a.cache_policy, a.retry_changed)

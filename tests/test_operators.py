@@ -319,6 +319,11 @@ def test_scan_from_end_to_end(spark, tmp_path):
     again = {r["path"].rsplit("/", 1)[1]: r["id"] >> 56 for r in rows}
     assert again["late"] == 2 and again["b.bin"] == 1 and "new" not in again
 
+    # reports once more, of the scan as it was made, without a walk
+    scan.removed(spark, f"{out}/{scan.ALL_FILES}")
+    assert command.main([*base, "--report-only", "--algorithm", "blake2b"]) == 0
+    assert {r["algorithm"] for r in _report(out / scan.ALL_FILES)} == {"sha256"}
+
     assert command.main(["--cleanup", "--output-dir", str(out)]) == 0 and (tree / "a (1).txt").exists()
     assert command.main(["--cleanup", "--output-dir", str(out), "--cleanup-action", "delete", "--confirmation-token", "x"]) == 2
     assert command.main(["--cleanup", "--output-dir", str(out), "--cleanup-action", "quarantine", "--quarantine-dir", str(tmp_path / "q"), "--yes-noninteractive"]) == 0
