@@ -115,7 +115,7 @@ def _hashed(todo: DataFrame, options: ScanOptions, retries: int) -> DataFrame:
     """Rows of _HASHED. Dealt by path, as one folder may hold most files."""
     spark = todo.sparkSession
     dealt = todo.repartition(4 * spark.sparkContext.defaultParallelism, "path_raw")
-    done = hashing.hashed_files(dealt, options.algorithm, retries, options.empty_files).alias("new")
+    done = hashing.hashed_files(dealt, options.algorithm, retries, options.empty_files, options.chunk_mib << 20).alias("new")
     both = todo.alias("old").join(done, F.col("old.path_raw") == F.col("new.path_raw"))
     kept = [F.col(f"old.{c}").alias(c) for c in ("id", "root_id", "path_raw", "path", "nlink")]
     live = {"size_bytes", "allocated_bytes", "mtime_ns", "ctime_ns", "device", "inode"}

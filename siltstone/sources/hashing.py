@@ -122,13 +122,13 @@ def hash_file(path: bytes, algorithm: str = "sha256", chunk: int = CHUNK, retrie
 RESULT = "digest string, sample_digest string, status string, error string, size_bytes long, allocated_bytes long, mtime_ns long, ctime_ns long, device long, inode long, bytes_read long, elapsed_seconds double"
 
 
-def hashed_files(files: DataFrame, algorithm: str = "sha256", retries: int = 1, empty_policy: str = "count") -> DataFrame:
+def hashed_files(files: DataFrame, algorithm: str = "sha256", retries: int = 1, empty_policy: str = "count", chunk: int = CHUNK) -> DataFrame:
     """files: path_raw binary. One row per file with what was found. The paths must be readable on all executors."""
     hasher(algorithm)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{"path_raw": p} | hash_file(p, algorithm, CHUNK, retries, empty_policy) for p in batch.column("path_raw").to_pylist()]
+            rows = [{"path_raw": p} | hash_file(p, algorithm, chunk, retries, empty_policy) for p in batch.column("path_raw").to_pylist()]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=_schema)
 
