@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import embedding_dedup, exact_dedup, language_id, lm_scoring, near_dedup, packing, quality, registry, sentencepiece_codec, toxicity, url_filters
+from siltstone.llm import components, embedding_dedup, exact_dedup, language_id, lm_scoring, near_dedup, packing, quality, registry, sentencepiece_codec, toxicity, url_filters
 
 from ..conftest import DATA
 
@@ -487,3 +487,33 @@ def test_classifier_ties(spark):
         for r in module.scored(frame, labels).join(frame.select("doc_id", "text").distinct(), "doc_id").filter("doc_id > 6").collect():
             by_text[r["text"]].add(r["score"])
         assert all(len(v) == 1 for v in by_text.values())
+
+
+def component_rows(spark, edges):
+    return sorted(map(tuple, components.components(spark.createDataFrame(edges, "u long, v long")).collect()))
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    def round_made(edges):
+        raise AssertionError("stars that point at their least node need no round")
+
+    monkeypatch.setattr(components, "_large_star", round_made)
+    assert component_rows(spark, [(5, 1), (1, 7), (1, 7), (9, 2), (4, 4)]) == [(1, 1), (2, 2), (5, 1), (7, 1), (9, 2)]
+    assert component_rows(spark, []) == []
+    for edges in ([(1, 2), (2, 3)], [(1, 3), (2, 3)]):  # a node below another, and one of two roots
+        with pytest.raises(AssertionError):
+            component_rows(spark, edges)
+
+
+def test_components_of_paths_rings_and_hubs(spark):
+    rng = np.random.default_rng(7)
+    names = rng.permutation(400).tolist()
+    path, ring, hub = ([names[i : i + 1] + names[i + 1 : i + 2] for i in range(59)], [[names[60 + i], names[60 + (i + 1) % 30]] for i in range(30)], [[names[100], names[i]] for i in range(101, 160)])
+    stray = rng.choice(names[200:], (90, 2)).tolist()
+    edges = path + ring + hub + stray + [[7, -3]]
+    least = {i: i for e in edges if e[0] != e[1] for i in e}
+    for _ in least:
+        for u, v in edges:
+            if u != v:
+                least[u] = least[v] = min(least[u], least[v])
+    assert component_rows(spark, edges) == sorted(least.items())
