@@ -1,6 +1,6 @@
 """Packing token sequences by non-negative least squares over length combinations.
 
-A document is its token ids and an end id. It is cut into windows of the full length, which need no packing, and a
+A document is its token ids (by `byte_bpe`) and an end id. It is cut into windows of the full length, which need no packing, and a
 rest shorter than a window. The histogram of rests (at most window - 1 counts, however many documents there are) is
 all the driver sees. Combinations of up to three lengths that fill a window exactly are enumerated; repeat counts x >= 0
 that minimise |A x - histogram|^2 are found by coordinate descent, rounded down to what the histogram holds, and what
@@ -17,11 +17,8 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,81 +26,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .byte_bpe import ByteBpe
 from .common import in_arrow, slices, staged, table
 
 WINDOW = 2048
 END_ID = 1
 COMBINATIONS = 6000
 SWEEPS = 40
-_CACHED = 600_000
-_JOINED = 200
-_BETWEEN = re.compile(r"(?<=\S)(?= \S)")
-
-
-class CachedTokenizer:
-    """Byte-level BPE ids by the tokenizers library, remembered by chunk.
-
-    The pre-tokenizer always cuts before a single space that stands between two other characters, so chunks that begin there
-    are tokenised alone with the same result. New chunks are tokenised many to a call, joined by their spaces, and told apart
-    by the pieces that hold a space, one for each chunk. A text with other runs of space takes the slow split."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes | None] = {}
-        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
-        pieces = self.tokenizer.get_vocab()
-        self.begins = np.zeros(max(pieces.values()) + 1, np.bool_)
-        self.begins[[i for piece, i in pieces.items() if space in piece]] = True
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _learn(self, parts: list[str]) -> None:
-        for x in parts:
-            self.known[x] = None
-        safe = [x for x in parts if x and not x[0].isspace() and not x[-1].isspace()]
-        groups = [safe[i : i + _JOINED] for i in range(0, len(safe), _JOINED)]
-        for group, joined in zip(groups, self._encode([" " + " ".join(g) for g in groups]), strict=True):
-            starts = 4 * np.flatnonzero(self.begins[np.frombuffer(joined, np.uint32)])
-            if len(starts) == len(group) and starts[0] == 0:
-                at = [*starts.tolist(), len(joined)]
-                self.known.update(zip(group, [joined[a:b] for a, b in pairwise(at)], strict=True))
-            else:
-                self.known.update(zip(group, self._encode([" " + x for x in group]), strict=True))
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [t.split(" ") for t in texts]
-        new: set[str] = set()
-        for parts in split:
-            new.update(parts)
-        if len(self.known) > _CACHED:  # what this batch needs, the common chunks with it, stays
-            self.known = {x: self.known[x] for x in new if x in self.known}
-        new.difference_update(self.known)
-        if new:
-            self._learn(list(new))
-        firsts = dict.fromkeys(parts[0] for parts in split)
-        heads = dict(zip(firsts, self._encode(list(firsts)), strict=True))
-        out, get = [], self.known.__getitem__
-        for text, parts in zip(texts, split, strict=True):
-            try:
-                if text and (parts[0] == "" or parts[0][-1].isspace()):
-                    raise TypeError
-                out.append(heads[parts[0]] + b"".join(map(get, parts[1:])))
-            except TypeError:  # a chunk of None: not safe to cut there
-                out.append(b"".join(self._encode(_BETWEEN.split(text))))
-        return out
-
-
-_tokenizers: dict[str, CachedTokenizer] = {}
-
-
-def _tokenizer(path: str) -> CachedTokenizer:
+#: Bytes of text that are tokenised at once.
+_SLICE = 8 << 20
+
+_tokenizers: dict[str, ByteBpe] = {}
+
+
+def _tokenizer(path: str) -> ByteBpe:
     if path not in _tokenizers:
-        _tokenizers[path] = CachedTokenizer(path)
+        _tokenizers[path] = ByteBpe(path)
     return _tokenizers[path]
 
 
@@ -117,17 +55,14 @@ _PIECES = "part int, rank long, doc_id long, mark long, start long, length int,
 
 
 def _cut(path: str, window: int, end_id: int):
-    end = np.uint32(end_id).tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, part = _tokenizer(path), TaskContext.get().partitionId()
         seen = np.zeros(window + 1, np.int64)
         for batch in batches:
-            for rows in slices(batch, limit=4 << 20):
+            for rows in slices(batch, limit=_SLICE):
                 out: list[tuple] = []
-                encoded = tokenizer.batch([t or "" for t in rows.column("text").to_pylist()])
+                encoded = tokenizer.encoded(rows.column("text"), end_id)
                 for doc, mark, ids in zip(rows.column("doc_id").to_pylist(), rows.column("mark").to_pylist(), encoded, strict=True):
-                    ids += end
                     tokens = len(ids) // 4
                     for at in range(0, tokens, window):
                         length = min(window, tokens - at)
@@ -242,15 +177,12 @@ _FINAL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def _recut(path: str, end_id: int):
-    end = np.uint32(end_id).tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
         for batch in batches:
-            for rows in slices(batch, limit=4 << 20):
+            for rows in slices(batch, limit=_SLICE):
                 out = []
-                for r, ids in zip(rows.drop_columns(["text"]).to_pylist(), tokenizer.batch([t or "" for t in rows.column("text").to_pylist()]), strict=True):
-                    ids += end
+                for r, ids in zip(rows.drop_columns(["text"]).to_pylist(), tokenizer.encoded(rows.column("text"), end_id), strict=True):
                     for at, length, sequence, offset in ((r["start"], r["cut"], r["sequence_id"], r["offset"]), (r["start"] + r["cut"], r["length"] - r["cut"], r["sequence_id"] + 1, 0)):
                         out.append((r["doc_id"], at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]), r["doc_tokens"], sequence, offset))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=[c.split()[0] for c in _FINAL.split(", ")])

@@ -4,10 +4,11 @@ import pickle
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import components, embedding_dedup, exact_dedup, language_id, lm_scoring, near_dedup, packing, quality, registry, sentencepiece_codec, toxicity, url_filters
+from siltstone.llm import byte_bpe, components, embedding_dedup, exact_dedup, language_id, lm_scoring, near_dedup, packing, quality, registry, sentencepiece_codec, toxicity, url_filters
 
 from ..conftest import DATA
 
@@ -252,6 +253,56 @@ def test_packing_round_trip(spark):
     assert packing.packed(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_packing_tokenises_prose_without_the_library(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    texts = [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
+    expected = [e.ids for e in Tokenizer.from_file(packing.default_tokenizer()).encode_batch(["" if t is None else t for t in texts], add_special_tokens=False)]
+    handed = []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode_batch_fast(self, texts, **options):
+            handed.append(sum(map(len, texts)))
+            return self.inner.encode_batch_fast(texts, **options)
+
+    ours = packing._tokenizer(packing.default_tokenizer())
+    monkeypatch.setattr(ours, "tokenizer", Counted(ours.tokenizer))
+    got = ours.encoded(pa.array(texts), 1) if hasattr(ours, "encoded") else [x + np.uint32(1).tobytes() for x in ours.batch(["" if t is None else t for t in texts])]
+    assert [np.frombuffer(x, np.uint32).tolist() for x in got] == [[*x, 1] for x in expected]
+    assert sum(handed) < 0.01 * sum(len(t or "") for t in texts)
+
+
+def test_byte_bpe_equals_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library, ours = Tokenizer.from_file(packing.default_tokenizer()), byte_bpe.ByteBpe(packing.default_tokenizer())
+    assert ours.covered
+
+    def same_ids(texts):
+        got = [np.frombuffer(x, np.uint32).tolist() for x in ours.encoded(pa.array(texts, pa.string()), 7)]
+        assert got == [[*e.ids, 7] for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+    parts = ["a", "b", "the", "S", "ing", *" " * 3, "\n", "\t", "'", "'s", "'re", "'LL", "'ll", "1", "23", ".", ",", "%%%", "é", "ß", "中", "😀", "\u00a0", "\u2003", "\u3000", "\u1680", "\u0085", "\x00", "\x1c", "\u200b", "\u180e", "\u0300", "²", "Ⅷ", "\U0002a6d6", "\ua7c2"]
+    pick = np.random.default_rng(5)
+    same_ids(["".join(pick.choice(parts, pick.integers(0, 40)).tolist()) for _ in range(5000)])
+    same_ids([None, "", " ", "  ", "'", "'s", " 's", "don't we'rest I'll 'tis ''s ,'s's", "x<|endoftext|> y <|endoftext|>", "aaaa" * 9 + "aaaaa", "aaaa" * 500 + " x", LONG[:5000], "\ufffd"])
+    known = np.flatnonzero(ours.classes != byte_bpe._UNKNOWN).tolist()
+    same_ids([f"a{c}a {c}1{c}1 {c},{c}, {c}{c} {c}\n{c} " for c in map(chr, known)])
+    monkeypatch.setattr(byte_bpe, "_PART", 10)
+    same_ids(["one two  three \ua7c2 four\n five, six " * 5, "\ua7c2" * 30])
+    ours.covered = False
+    same_ids(["one two  three", None, "<|endoftext|>"])
+    assert ours.encoded(pa.array([], pa.string()), 7) == []
+    with pytest.raises(pa.ArrowInvalid):
+        ours.encoded(pa.array([b"a\xffb"]).view(pa.string()), 7)
+
+
 def test_least_squares_covers():
     counts = {5: 10, 3: 10, 4: 7, 8: 2}
     x = packing.least_squares(packing.combinations(counts, 8), counts)
