@@ -176,7 +176,7 @@ def _may_link(threshold: float):
 
 
 _CROSS = "key long, first int, second int, own int, id long, component long, block long, n_shingles long, registers binary"
-_LISTS = "x long, y long, a array<long>, b array<long>, ids array<long>"
+_LISTS = "x long, y long, a array<long>, b array<long>, ids array<long>, components array<long>"
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -235,11 +235,12 @@ def _across(threshold: float):
             return None
         a, b = np.concatenate(a_all), np.concatenate(b_all)
         x, y = np.minimum(block[a], block[b]), np.maximum(block[a], block[b])
-        made: dict = {c: [] for c in ("x", "y", "a", "b", "ids")}
+        made: dict = {c: [] for c in ("x", "y", "a", "b", "ids", "components")}
         order = np.lexsort((y, x))
         ends = np.flatnonzero(np.diff(x[order]) | np.diff(y[order])) + 1
         for of in np.split(order, ends):
-            for c, v in zip(made, (x[of[0]], y[of[0]], ids[a[of]], ids[b[of]], ids[np.union1d(a[of], b[of])]), strict=True):
+            texts = np.union1d(a[of], b[of])
+            for c, v in zip(made, (x[of[0]], y[of[0]], ids[a[of]], ids[b[of]], ids[texts], components_[texts]), strict=True):
                 made[c].append(v)
         lists = pa.list_(pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if c in "xy" else lists) for c, v in made.items()], names=list(made))
@@ -269,7 +270,7 @@ TOGETHER = 32
 
 
 def _united(percent: int):
-    """Rows sorted by (x, y): the pairs of two blocks, and the components and sets of their texts. Gives links between components, none that the links before it imply."""
+    """Rows sorted by (x, y): the pairs of two blocks, and the components and sets of their texts. Gives links of components to the least that they are united with here."""
 
     def united(rows: pa.Table) -> pa.RecordBatch:
         is_text = pc.is_valid(rows.column("id"))
@@ -288,7 +289,6 @@ def _united(percent: int):
         a, b = (np.concatenate([v.values.to_numpy() for v in lists.column(c)]) for c in ("a", "b"))
         order = np.argsort(a, kind="stable")
         a, b = a[order], b[order]
-        u, v = [], []
         for of in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1):
             i = int(a[of[0]])
             own, others = sets[i], b[of].tolist()
@@ -300,11 +300,11 @@ def _united(percent: int):
                 joined = np.concatenate([sets[j] for j in some])
                 shared = np.add.reduceat(_shared(own, joined), np.concatenate(([0], np.cumsum(sizes)[:-1])), dtype=np.int64)
                 for j in np.array(some)[100 * shared >= percent * (len(own) + sizes - shared)].tolist():
-                    if root(j) != root(i):
-                        parent[root(j)] = root(i)
-                        u.append(i)
-                        v.append(j)
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                    low, high = sorted((root(i), root(j)))
+                    parent[high] = low
+        links = {component[i]: root(i) for i in component}
+        links = {c: least for c, least in links.items() if c != least}
+        return pa.RecordBatch.from_arrays([pa.array(links.keys(), pa.int64()), pa.array(links.values(), pa.int64())], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, ("x", "y")):
@@ -357,12 +357,12 @@ class _Linker:
         both = pairs.join(a, "a").join(b, "b").filter(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * self.percent)
         return in_arrow(both, _may_link(self.percent / 100), "a long, b long")
 
-    def united(self, lists: DataFrame, placed: DataFrame) -> DataFrame:
-        """Of lists of pairs, the links that unite components."""
+    def united(self, lists: DataFrame) -> DataFrame:
+        """Of lists of pairs, links that unite components: of their names."""
         columns = [F.col(c.split()[0]).cast(c.split(" ", 1)[1]) for c in _VERIFY.split(", ")]
-        met = lists.select("x", "y", F.explode("ids").alias("id")).distinct()
+        met = lists.select("x", "y", F.inline(F.arrays_zip("ids", "components")).alias("id", "component")).distinct()
         sets = in_arrow(self.texts.join(met.select("id").distinct(), "id").select("id", "text"), _sets(self.shingle), "id long, hashes binary")
-        rows = met.join(sets, "id").join(placed, "id").unionByName(lists.drop("ids"), allowMissingColumns=True).select(*columns)
+        rows = met.join(sets, "id").unionByName(lists.drop("ids", "components"), allowMissingColumns=True).select(*columns)
         dealt = rows.repartition(self.partitions, "x", "y").sortWithinPartitions("x", "y")
         return in_arrow(dealt, _united(self.percent), "u long, v long")
 
@@ -412,18 +412,17 @@ def _classes(docs: DataFrame, id_column: str, text_column: str, percent: int, sh
     named = components(direct)
 
     # buckets that still hold several components: blocks of the largest one first, then of the rest
-    placed = members.join(named, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    placed = members.join(named, "id", "left").select("key", "leader", "id", F.coalesce("component", "id").alias("component"))
     shares = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = shares.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n")).filter("n > most.n")
     mixed = mixed.select("key", F.col("most.component").alias("main"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("rests"))
     is_main = F.col("component") == F.col("main")
     own = F.when(is_main, F.pmod(F.xxhash64("id"), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("id"), "rests")).cast("int")
     least_other = F.when(is_main, F.col("mains")).otherwise(0)  # a block of the largest component meets none of its own
-    still = placed.join(mixed, "key").select("key", "id", "component", own.alias("own"), least_other.alias("from"), (F.col("mains") + F.col("rests") - 1).alias("to"))
+    still = placed.join(mixed, "key").select("key", "leader", "id", "component", own.alias("own"), least_other.alias("from"), (F.col("mains") + F.col("rests") - 1).alias("to"))
     still = staged(still, "still")
-    # texts that meet in many buckets are verified together, in blocks of the component that the leaders make
-    homes = still.select("id", "component").distinct().join(linker.sides, "id").join(components(likely.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("component", "home"), "id", "left")
-    homes = staged(homes.withColumn("home", F.coalesce("home", "id")), "homes")
+    # texts that meet in many buckets are verified together, in blocks of the smallest leader of those buckets: whose it is only decides where a pair is verified
+    homes = staged(still.groupBy("id", "component").agg(F.min("leader").alias("home")).join(linker.sides, "id"), "homes")
     parts = homes.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).alias("parts"))
     homes = homes.join(parts, "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("id", F.lit("block")), "parts"))).drop("home", "parts")
     paired = still.withColumn("with", F.explode(F.sequence("from", "to")))
@@ -431,10 +430,10 @@ def _classes(docs: DataFrame, id_column: str, text_column: str, percent: int, sh
     full = paired.join(homes, "id").select(*[c.split()[0] for c in _CROSS.split(", ")])
     dealt = full.repartition(linker.partitions, "key", "first", "second").sortWithinPartitions("key", "first", "second")
     lists = staged(in_arrow(dealt, _across(percent / 100), _LISTS), "lists")
-    crossing = staged(linker.united(lists, homes.select("id", "component")), "crossing")
-    found = components(named.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(crossing))
-
-    classes = sets.join(found.select(F.col("id").alias("class"), "component"), "class", "left").select(*_CONTENT, "head", F.coalesce("component", "class").alias("component"))
+    # stars of stars: first the components that the leaders make, then what unites those
+    last = components(linker.united(lists)).select(F.col("id").alias("component"), F.col("component").alias("last"))
+    found = sets.join(named.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    classes = found.join(last, "component", "left").select(*_CONTENT, "head", F.coalesce("last", "component").alias("component"))
     return sketches.select("id", "mark", *_CONTENT), classes
 
 

@@ -1,6 +1,7 @@
 import collections
 import itertools
 import pickle
+import uuid
 import zlib
 
 import numpy as np
@@ -139,6 +140,39 @@ def test_near_stray_members_of_large_buckets(spark, monkeypatch):
     assert got == brute_components({i: shingles(t) for i, t in texts})
 
 
+def stages_of(spark, run):
+    """How many stages Spark makes of what run does: on many partitions and few rows they are the time."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group := uuid.uuid4().hex, "counted")
+    try:
+        run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(group)]
+    return len({s for j in jobs for s in j.stageIds})
+
+
+def chains(parts=12):
+    """Near copies edited again and again in a few texts' chains, so that the leaders' links are no stars and buckets hold several components."""
+    rng = np.random.default_rng(13)
+    texts = []
+    for c in range(parts):
+        words_ = [f"c{c}w{i}" for i in range(150)]
+        for _ in range(12):
+            texts.append(" ".join(words_))
+            for k in rng.integers(0, 150, 2).tolist():
+                words_[k] = f"e{rng.integers(0, 10**9)}"
+    return [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)]
+
+
+def test_near_has_few_stages(spark):
+    texts, got = chains(), {}
+    stages = stages_of(spark, lambda: got.update({r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(docs(spark, texts)).collect()}))
+    assert got == brute_components({i: shingles(t) for i, t in texts})
+    assert stages <= 240  # 319 when three searches for components made twice the shuffles in a round
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 2**63, (2, 900)).astype(np.uint64)
@@ -556,6 +590,19 @@ def test_components_of_stars_take_no_round(spark, monkeypatch):
             component_rows(spark, edges)
 
 
+def test_components_round_shuffles(spark):
+    """Two exchanges of edges and two of minima each step at most, none for what is only written."""
+    edges = spark.range(1000).selectExpr("id + 1 AS u", "id AS v")
+    plan = components._small_star(components._large_star(edges))._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("Exchange hashpartitioning") <= 5
+
+
+def test_components_of_repeated_edges(spark):
+    edges = [(2, 1), (1, 2), (2, 1), (3, 3), (5, 4), (5, 4)]
+    assert component_rows(spark, edges) == [(1, 1), (2, 1), (4, 4), (5, 4)]
+    assert component_rows(spark, edges * 2 + [(2, 5), (5, 2)] * 3) == [(1, 1), (2, 1), (4, 1), (5, 1)]
+
+
 def test_components_of_paths_rings_and_hubs(spark):
     rng = np.random.default_rng(7)
     names = rng.permutation(400).tolist()
